@@ -74,7 +74,7 @@ GRID = (
     + ", ".join(
         f"coalesce({x}, 0) AS {x}" for x in (*lb.TIMELINE_SUMS, "target_time_count", "latency_count")
     )
-    + ", round(target_time_avg, 6) AS target_time_avg, round(latency_avg, 6) AS latency_avg, round(latency_max, 6) AS latency_max FROM dense LEFT JOIN agg USING (m)) "
+    + ", round(target_time_avg + 1e-9, 6) AS target_time_avg, round(latency_avg + 1e-9, 6) AS latency_avg, round(latency_max, 6) AS latency_max FROM dense LEFT JOIN agg USING (m)) "
 )
 
 
@@ -156,7 +156,7 @@ CONN_TOTALS = (
 
 def _stat(v: str, table: str) -> str:
     return (
-        f"SELECT count({v}) AS count, round(coalesce(sum({v}), 0), 6) AS sum, round(coalesce(max({v}), 0), 6) AS max, round(coalesce(avg({v}), 0), 6) AS avg FROM {table}"
+        f"SELECT count({v}) AS count, round(coalesce(sum({v}), 0), 6) AS sum, round(coalesce(max({v}), 0), 6) AS max, round(coalesce(avg({v}), 0) + 1e-9, 6) AS avg FROM {table}"
     )
 
 
@@ -181,7 +181,7 @@ def queries() -> dict[str, Query]:
         "agg_lb_17": Query(lambda t: lb.hour_of_day(t.lb_requests), _hours(R)),
         "agg_lb_18": Query(
             lambda t: lb.target_time_stat(t.lb_requests),
-            f"SELECT {_measured('target_time', 'target_time')}, round(avg(target_time), 6) AS target_time_avg FROM lb_requests",
+            f"SELECT {_measured('target_time', 'target_time')}, round(avg(target_time) + 1e-9, 6) AS target_time_avg FROM lb_requests",
         ),
         "agg_lb_19": Query(lambda t: lb.conn_errors(t.lb_requests), f"SELECT count(*) FILTER ({CONN_ERROR}) AS conn_errors FROM lb_requests"),
         "agg_lb_20": Query(
@@ -333,7 +333,7 @@ def queries() -> dict[str, Query]:
         "hlt_02": Query(
             lambda t: health.group_table(t.lb_requests, 3),
             "SELECT regexp_replace(target_group_arn, '^.*:targetgroup/', '') AS name, target_group_arn AS arn, requests, target_2xx AS t2xx, target_4xx AS t4xx, target_5xx AS t5xx, "
-            f"elb_5xx, conn_errors, targets, round(target_time_sum / target_time_count, 6) AS avg, target_time_max AS max, {_tone('(elb_5xx + conn_errors) / requests', 0.01, 0.05)} AS tone "
+            f"elb_5xx, conn_errors, targets, round(target_time_sum / target_time_count + 1e-9, 6) AS avg, target_time_max AS max, {_tone('(elb_5xx + conn_errors) / requests', 0.01, 0.05)} AS tone "
             f"FROM ({GROUPS}) ORDER BY requests DESC, target_group_arn LIMIT 3",
         ),
         "rnk_03": Query(
@@ -342,11 +342,11 @@ def queries() -> dict[str, Query]:
         ),
         "rnk_04": Query(
             lambda t: health.slowest_paths(t.lb_requests, 10),
-            f"SELECT path, count, round(avg, 6) AS avg, round(min, 6) AS min, round(max, 6) AS max FROM ({PATHS}) ORDER BY {'avg'} DESC, path LIMIT 10",
+            f"SELECT path, count, round(avg + 1e-9, 6) AS avg, round(min, 6) AS min, round(max, 6) AS max FROM ({PATHS}) ORDER BY {'avg'} DESC, path LIMIT 10",
         ),
         "hlt_03": Query(
             lambda t: health.path_table(t.lb_requests, 10),
-            "SELECT path, count, round(avg, 6) AS avg, round(min, 6) AS min, round(max, 6) AS max, CAST(floor(avg / m * 100) AS BIGINT) AS avg_pct, CAST(floor(max / m * 100) AS BIGINT) AS max_pct, "
+            "SELECT path, count, round(avg + 1e-9, 6) AS avg, round(min, 6) AS min, round(max, 6) AS max, CAST(floor(avg / m * 100) AS BIGINT) AS avg_pct, CAST(floor(max / m * 100) AS BIGINT) AS max_pct, "
             f"{_tone('avg', 0.5, 1.0)} AS avg_tone, {_tone('max', 0.5, 1.0)} AS max_tone FROM (SELECT *, max(max) OVER () AS m FROM (SELECT * FROM ({PATHS}) ORDER BY avg DESC, path LIMIT 10))",
         ),
         "hlt_04": Query(

@@ -45,7 +45,7 @@ def tables(counts: str, layout, unit: str, byte_dims: set[str], n: int, tone: st
 VALUE_TONE = (
     "CASE WHEN regexp_matches(key, '^[1-5][0-9][0-9]$') THEN CASE substr(key,1,1) WHEN '5' THEN 'crit' WHEN '4' THEN 'warn' WHEN '2' THEN 'ok' ELSE 'info' END "
     "WHEN key IN ('SSLv3','TLSv1','TLSv1.1') OR key LIKE '% SSLv3' OR key LIKE '% TLSv1' OR key LIKE '% TLSv1.1' THEN 'crit' "
-    "WHEN key = '443 no TLS' THEN 'crit' WHEN key = 'TLSv1.3' OR key LIKE '% TLSv1.3' THEN 'ok' "
+    "WHEN key = '443 no TLS' THEN 'crit' WHEN key = 'unknown' OR key LIKE '% unknown' THEN 'warn' WHEN key = 'TLSv1.3' OR key LIKE '% TLSv1.3' THEN 'ok' "
     "WHEN key LIKE 'Failed%' THEN 'crit' WHEN key IN ('Success','ALLOW','ACCEPT') THEN 'ok' WHEN key IN ('BLOCK','REJECT') THEN 'crit' "
     "WHEN key IN ('CAPTCHA','CHALLENGE','SigV2') THEN 'warn' WHEN key = 'COUNT' THEN 'info' END"
 )
@@ -54,8 +54,7 @@ ACTION_TONE = "CASE key WHEN 'ACCEPT' THEN 'ok' WHEN 'REJECT' THEN 'crit' END"
 
 def normalized(path: str) -> str:
     """Numeric path segments as ``{n}``, without look-ahead."""
-    seg = "regexp_replace(s, '^[0-9]+(\\.|$)', '{n}\\1')"
-    return f"array_to_string(list_transform(string_split({path}, '/'), s -> {seg}), '/')"
+    return "array_to_string([regexp_replace(s, '^[0-9]+(\\.|$)', '{n}\\1') for s in string_split(" + path + ", '/')], '/')"
 
 
 def finding(rule: str, severity: str, title: str, actor: str, detail: str, time: str, n: str, rest: str) -> str:
