@@ -157,12 +157,17 @@ def cumulative(deltas: DataFrame) -> DataFrame:
     )
 
 
-def dense_ticks(df: DataFrame, at: Column, key: Column, name: str, label: str, values: Sequence[str]) -> DataFrame:
+def dense_ticks(df: DataFrame, at: Column, key: Column, name: str, label: str, values: Sequence[str],
+                **extra: Column) -> DataFrame:
     """Per-tick counts of every label value, zero-filled: each tick is one row of conditional counts."""
-    per_tick = df.groupBy(at.alias("at")).agg(*_class_counts(key, values))
+    per_tick = df.groupBy(at.alias("at"), *[c.alias(n) for n, c in extra.items()]).agg(*_class_counts(key, values))
+    more = [part for n in extra for part in (F.lit(n), F.col(n))]
     entries = F.array(
         *[
-            F.struct(F.create_map(F.lit(label), F.lit(v)).alias("labels"), F.col(f"c_{v.lower()}").cast("double").alias("value"))
+            F.struct(
+                F.create_map(F.lit(label), F.lit(v), *more).alias("labels"),
+                F.col(f"c_{v.lower()}").cast("double").alias("value"),
+            )
             for v in values
         ]
     )
