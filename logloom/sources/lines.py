@@ -28,15 +28,20 @@ class Parsed:
     good: DataFrame
     bad: DataFrame
     unreadable: DataFrame
+    rows: DataFrame | None = None
+
+    def cached(self) -> tuple[Parsed, DataFrame]:
+        """The same result parsed once and kept, and the frame to release afterwards."""
+        if self.rows is None:
+            good = self.good.persist()
+            return Parsed(good, self.bad, self.unreadable), good
+        rows = self.rows.persist()
+        return parsed(rows, self.unreadable), rows
 
     def bad_report(self) -> DataFrame:
         """Per file: number of bad lines and the first error."""
         return self.bad.groupBy("file").agg(F.count("*").alias("bad"), F.min_by("err", "pos").alias("first_error"))
 
-    def where(self, keep: Callable[[DataFrame], DataFrame]) -> Parsed:
-        """The same result with a filter on the records."""
-        return Parsed(keep(self.good), self.bad, self.unreadable)
-
 
 def parsed(rows: DataFrame, unreadable: DataFrame | None = None) -> Parsed:
     """Split rows ``(file, pos, rec, err)`` into records and bad lines.
@@ -48,7 +53,7 @@ def parsed(rows: DataFrame, unreadable: DataFrame | None = None) -> Parsed:
     bad = rows.where(F.col("err").isNotNull()).select("file", "pos", "err")
     if unreadable is None:
         unreadable = no_rows(rows.sparkSession, "file string, err string")
-    return Parsed(good, bad, unreadable)
+    return Parsed(good, bad, unreadable, rows)
 
 
 def no_rows(spark: SparkSession, schema: str) -> DataFrame:
