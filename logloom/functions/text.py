@@ -16,6 +16,9 @@ _LB_TOKEN = rf'(?s)"{_QUOTED_BODY}(?:"|\\?$)|[^ ]+'
 _LB_QUOTED = rf'(?s)^"({_QUOTED_BODY}\\?)"?$'
 _OBJECT_TOKEN = rf'(?s)\[[^\]]*\]|"{_QUOTED_BODY}"|[^ "\[][^ ]*'
 
+# Bracketed host, bracket that never closes, or host before the last colon.
+_URL_HOST = r"(?s)^(?:.*?://)?(?:\[([^\]/]*)\][^/]*|(\[[^\]/]*)|((?:[^/\[][^/]*?)?)(?::[^:/]*)?)(?:/.*)?$"
+
 _RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})?$"
 _CLF_TIME = r"^\d{2}/[A-Z][a-z]{2}/\d{4}:\d{2}:\d{2}:\d{2} [+-]\d{4}$"
 _CONTROL = r"[\x00-\x1f\x7f-\x9f]"
@@ -35,29 +38,42 @@ def _unescape(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("\\")), F.regexp_replace(c, r"(?s)\\(.)", "$1")).otherwise(c)
 
 
-def quoted_tokens(line: Column) -> Column:
-    """Split on spaces; ``"..."`` is one token, ``\\x`` escapes, an open quote runs to the end."""
+def raw_tokens(line: Column) -> Column:
+    """Tokens of a load-balancer line with their quotes: :func:`unquoted` strips the ones that are used."""
+    return F.regexp_extract_all(line, F.lit(_LB_TOKEN), F.lit(0))
 
-    def unquote(t: Column) -> Column:
-        return F.when(
-            F.startswith(t, F.lit('"')), _unescape(F.regexp_extract(t, _LB_QUOTED, 1))
-        ).otherwise(t)
 
-    return F.transform(F.regexp_extract_all(line, F.lit(_LB_TOKEN), F.lit(0)), unquote)
+def raw_bracketed_tokens(line: Column) -> Column:
+    """Tokens of an object-access line with their quotes and brackets."""
+    return F.regexp_extract_all(line, F.lit(_OBJECT_TOKEN), F.lit(0))
 
 
-def bracketed_tokens(line: Column) -> Column:
-    """Split on spaces; ``"..."`` and ``[...]`` are one token each, without their marks."""
+def unquoted(t: Column) -> Column:
+    """Inner text of a quoted token; an open quote runs to the end of the line."""
+    plain = F.substring(t, F.lit(2), F.length(t) - F.when(F.endswith(t, F.lit('"')), 2).otherwise(1))
+    escaped = F.regexp_replace(F.regexp_extract(t, _LB_QUOTED, 1), r"(?s)\\(.)", "$1")
+    quoted = F.when(F.contains(t, F.lit("\\")), escaped).when(t != '"', plain).otherwise("")
+    return F.when(F.startswith(t, F.lit('"')), quoted).otherwise(t)
 
-    def bare(t: Column) -> Column:
-        inner = F.substring(t, F.lit(2), F.length(t) - 2)
-        return (
-            F.when(F.startswith(t, F.lit('"')), _unescape(inner))
-            .when(F.startswith(t, F.lit("[")), inner)
-            .otherwise(t)
-        )
 
-    return F.transform(F.regexp_extract_all(line, F.lit(_OBJECT_TOKEN), F.lit(0)), bare)
+def unbracketed(t: Column) -> Column:
+    """Inner text of a quoted or bracketed token."""
+    inner = F.substring(t, F.lit(2), F.length(t) - 2)
+    return (
+        F.when(F.startswith(t, F.lit('"')), _unescape(inner))
+        .when(F.startswith(t, F.lit("[")), inner)
+        .otherwise(t)
+    )
+
+
+def quoted_tokens(line: Column) -> Column:
+    """Split on spaces; ``"..."`` is one token, ``\\x`` escapes, an open quote runs to the end."""
+    return F.transform(raw_tokens(line), unquoted)
+
+
+def bracketed_tokens(line: Column) -> Column:
+    """Split on spaces; ``"..."`` and ``[...]`` are one token each, without their marks."""
+    return F.transform(raw_bracketed_tokens(line), unbracketed)
 
 
 def unterminated(line: Column) -> Column:
@@ -120,11 +136,13 @@ def port(c: Column) -> Column:
 def host_port(c: Column) -> tuple[Column, Column]:
     """Split ``ip:port`` or ``[v6]:port`` at the last colon."""
     text = known(c)
-    host = F.regexp_replace(F.regexp_replace(text, r"(?s):[^:]*$", ""), r"^\[|\]$", "")
-    split = F.contains(text, F.lit(":"))
+    colon = F.contains(text, F.lit(":"))
+    host = F.when(F.startswith(text, F.lit("[")), F.regexp_extract(text, r"^\[([^\]]*)", 1)).otherwise(
+        F.regexp_replace(text, r"(?s):[^:]*$", "")
+    )
     return (
-        present(F.when(split, host).otherwise(text)),
-        F.when(split, present(F.regexp_extract(text, r"(?s):([^:]*)$", 1))),
+        present(F.when(colon, host).otherwise(text)),
+        F.when(colon, present(F.substring_index(text, ":", -1))),
     )
 
 
@@ -145,13 +163,7 @@ def request_line(c: Column) -> tuple[Column, Column, Column]:
 
 def url_host(url: Column) -> Column:
     """Lower-case host without port; tolerant of malformed URLs."""
-    authority = F.regexp_extract(F.regexp_replace(url, r"(?s)^.*?://", ""), r"(?s)^([^/]*)", 1)
-    host = (
-        F.when(F.rlike(authority, F.lit(r"(?s)^\[.*\]")), F.regexp_extract(authority, r"(?s)^\[([^\]]*)\]", 1))
-        .when(F.startswith(authority, F.lit("[")), authority)
-        .otherwise(F.regexp_replace(authority, r"(?s):[^:]*$", ""))
-    )
-    return present(F.lower(host))
+    return present(F.lower(F.regexp_replace(url, _URL_HOST, "$1$2$3")))
 
 
 def url_path(url: Column) -> Column:

@@ -44,6 +44,17 @@ def tcp_or_udp() -> Column:
     return d.yes(F.col("protocol").isin(6, 17))
 
 
+def endpoints(df: DataFrame) -> DataFrame:
+    """Flows with their effective endpoints, address classes and starting side, each computed once per flow."""
+    with_ends = df.select("*", source().alias("source"), destination().alias("destination"))
+    return with_ends.select(
+        "*",
+        net.is_private(F.col("source")).alias("src_private"), net.is_public(F.col("source")).alias("src_public"),
+        net.is_private(F.col("destination")).alias("dst_private"), net.is_public(F.col("destination")).alias("dst_public"),
+        started().alias("started"),
+    )
+
+
 def is_scan() -> Column:
     """Rejected connection attempt from a public address to a known port."""
     return (
@@ -51,13 +62,13 @@ def is_scan() -> Column:
         & tcp_or_udp()
         & F.col("dst_port").isNotNull()
         & d.conn_attempt(F.col("protocol"), F.col("tcp_flags"))
-        & net.is_public(source())
+        & F.col("src_public")
     )
 
 
 def is_sweep() -> Column:
     """Flow to a private address by the side that started it."""
-    return source().isNotNull() & started() & net.is_private(destination())
+    return F.col("dst_private") & F.col("started") & F.col("source").isNotNull()
 
 
 def is_exposed() -> Column:
@@ -67,15 +78,15 @@ def is_exposed() -> Column:
         & F.coalesce(F.col("dst_port").isin(*SENSITIVE_PORTS), F.lit(False))
         & tcp_or_udp()
         & (F.coalesce(F.col("flow_direction"), F.lit("")) != "egress")
-        & started()
-        & net.is_private(destination())
-        & net.is_public(source())
+        & F.col("started")
+        & F.col("dst_private")
+        & F.col("src_public")
     )
 
 
 def is_egress() -> Column:
     """Accepted flow a private host started to a public address."""
-    return accepted() & started() & net.is_private(source()) & net.is_public(destination())
+    return accepted() & F.col("started") & F.col("src_private") & F.col("dst_public")
 
 
 def _legacy() -> Column:
@@ -83,16 +94,27 @@ def _legacy() -> Column:
 
 
 def is_legacy_in() -> Column:
-    return _legacy() & net.is_public(source()) & net.is_private(destination())
+    return _legacy() & F.col("src_public") & F.col("dst_private")
 
 
 def is_legacy_out() -> Column:
-    return _legacy() & net.is_private(source()) & net.is_public(destination())
+    return _legacy() & F.col("src_private") & F.col("dst_public")
 
 
 def exposed_service() -> Column:
     return F.concat(
-        net.endpoint(destination(), F.col("dst_port")), F.lit("/"), d.protocol_name(F.col("protocol"))
+        net.endpoint(F.col("destination"), F.col("dst_port")), F.lit("/"), d.protocol_name(F.col("protocol"))
+    )
+
+
+def classified(df: DataFrame) -> DataFrame:
+    """What each security rule needs to know of a flow, one flag per rule."""
+    return endpoints(df).select(
+        "start", "bytes", "source", "destination", "dst_port", rejected().alias("is_reject"),
+        is_scan().alias("is_scan"), is_sweep().alias("is_sweep"), is_exposed().alias("is_exposed"),
+        is_egress().alias("is_egress"), is_legacy_in().alias("is_legacy_in"), is_legacy_out().alias("is_legacy_out"),
+        F.when(is_exposed(), exposed_service()).alias("exposed_service"),
+        F.when(_legacy(), service()).alias("service"),
     )
 
 
@@ -165,33 +187,27 @@ def distinct_interfaces(df: DataFrame) -> DataFrame:
     return distinct_count(only_flows(df), F.col("interface_id"), "interfaces")
 
 
-def _distinct_items(df: DataFrame, where: Column, key: Column, item: Column, name: str) -> DataFrame:
-    return (
-        only_flows(df)
-        .where(where)
-        .select(key.alias(name), item.alias("item"))
-        .distinct()
-        .groupBy(name)
-        .agg(F.count("*").alias("n"))
-    )
-
-
 def scanned_ports(df: DataFrame) -> DataFrame:
     """Distinct rejected destination ports per public source."""
-    return _distinct_items(df, is_scan(), source(), F.col("dst_port"), "source")
+    return _distinct_items(endpoints(only_flows(df)).where(is_scan()), "dst_port")
 
 
 def swept_hosts(df: DataFrame) -> DataFrame:
     """Distinct private destinations per source that started the flow."""
-    return _distinct_items(df, is_sweep(), source(), destination(), "source")
+    return _distinct_items(endpoints(only_flows(df)).where(is_sweep()), "destination")
+
+
+def _distinct_items(df: DataFrame, item: str) -> DataFrame:
+    """Pairs are folded before they are counted, so a hot source is spread over its items."""
+    return df.select("source", item).distinct().groupBy("source").agg(F.count("*").alias("n"))
 
 
 def exposed_services(df: DataFrame) -> DataFrame:
     """Per exposed service: flows, bytes, first flow, distinct public sources."""
     return (
-        only_flows(df)
+        endpoints(only_flows(df))
         .where(is_exposed())
-        .groupBy(exposed_service().alias("service"), source().alias("source"))
+        .groupBy(exposed_service().alias("service"), "source")
         .agg(F.count("*").alias("flows"), F.sum("bytes").alias("bytes"), F.min("start").alias("first"))
         .groupBy("service")
         .agg(
@@ -206,9 +222,9 @@ def exposed_services(df: DataFrame) -> DataFrame:
 def egress_bytes(df: DataFrame) -> DataFrame:
     """Bytes per private source to public destinations."""
     return (
-        only_flows(df)
+        endpoints(only_flows(df))
         .where(is_egress() & (F.col("bytes") > 0))
-        .groupBy(source().alias("source"))
+        .groupBy("source")
         .agg(F.sum("bytes").alias("bytes"))
     )
 
@@ -217,10 +233,10 @@ def legacy_flows(df: DataFrame) -> DataFrame:
     """Legacy-protocol flows by private host, direction and service."""
     inbound = is_legacy_in()
     return (
-        only_flows(df)
+        endpoints(only_flows(df))
         .where(inbound | is_legacy_out())
         .groupBy(
-            F.when(inbound, destination()).otherwise(source()).alias("host"),
+            F.when(inbound, F.col("destination")).otherwise(F.col("source")).alias("host"),
             F.when(inbound, "in").otherwise("out").alias("direction"),
             service().alias("service"),
         )

@@ -157,8 +157,9 @@ def audit_findings(events: DataFrame, rules: Sequence[Rule] | None = None) -> Da
             "event_id",
             F.col("event_time").alias("time"),
             F.lit(1).cast("bigint").alias("n"),
-            F.explode(F.array_compact(F.array(*hits))).alias("hit"),
+            F.explode(F.array(*hits)).alias("hit"),
         )
+        .where(F.col("hit").isNotNull())
         .select("*", *[F.col(f"hit.{f}").alias(f) for f in fields])
         .select(*FINDING_COLUMNS)
     )
@@ -178,20 +179,24 @@ def _fact(tag: str, actor: Column, extra: Column | None = None, item: Column | N
     )
 
 
-def _fold(df: DataFrame, facts: Sequence[Column], ts: str) -> DataFrame:
-    """Facts of all records, folded by (tag, actor, extra, item) in one scan."""
+def _fold(df: DataFrame, facts: Sequence[Column], ts: str, many: Column | None = None) -> DataFrame:
+    """Facts of all records, folded by (tag, actor, extra, item) in one scan.
+
+    Conditions that do not hold leave a NULL entry, dropped after the unfolding:
+    an array filter would evaluate every condition outside generated code.
+    """
+    entries = F.array(*facts)
+    if many is not None:
+        entries = F.concat(entries, many)
     return (
-        df.select(F.col(ts).alias("ts"), F.explode(F.array_compact(F.flatten(F.array(*facts)))).alias("f"))
+        df.select(F.col(ts).alias("ts"), F.explode(entries).alias("f"))
+        .where(F.col("f").isNotNull())
         .select("ts", "f.*")
         .groupBy("tag", "actor", "extra", "item")
         .agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("ts").alias("first"))
     )
 
 
-def _one(condition: Column, fact: Column) -> Column:
-    return F.array(F.when(condition, fact))
-
-
 def _leaders(facts: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, text: Column) -> DataFrame:
     """``key (n), key (n)`` of the leading items per group; cut to ``n`` before they are collected."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -250,7 +255,8 @@ def _text(*parts: Column | str) -> Column:
 def _judge(rows: DataFrame, verdicts: Mapping[str, tuple[Column, Column]], names: set[str] | None) -> DataFrame:
     """Apply the wanted ``rule -> (condition, verdict)`` entries to one row per actor."""
     chosen = [F.when(test, v) for rule, (test, v) in verdicts.items() if _wanted(names, rule)]
-    return rows.select("actor", F.explode(F.array_compact(F.array(*chosen))).alias("v")).select("actor", "v.*")
+    judged = rows.select("actor", F.explode(F.array(*chosen)).alias("v"))
+    return judged.where(F.col("v").isNotNull()).select("actor", "v.*")
 
 
 def _wanted(names: Iterable[str] | None, rule: str) -> bool:
@@ -276,12 +282,11 @@ def waf_facts(df: DataFrame) -> DataFrame:
     )
     match = waf.exploit()
     facts = [
-        _one(F.col("rate_rule").isNotNull(), _fact("rate", F.col("rate_rule"), item=F.col("client_ip"))),
-        counted,
-        _one(F.col("oversize"), _fact("oversize", F.lit(""))),
-        _one(match.isNotNull(), _fact("exploit", F.coalesce("client_ip", F.lit("")), item=match)),
+        F.when(F.col("rate_rule").isNotNull(), _fact("rate", F.col("rate_rule"), item=F.col("client_ip"))),
+        F.when(F.col("oversize"), _fact("oversize", F.lit(""))),
+        F.when(match.isNotNull(), _fact("exploit", F.coalesce("client_ip", F.lit("")), item=match)),
     ]
-    return _fold(df, facts, "ts")
+    return _fold(df, facts, "ts", counted)
 
 
 def waf_rules(clients: DataFrame, facts: DataFrame, first: DataFrame, block_threshold: int = BLOCK_THRESHOLD,
@@ -394,23 +399,23 @@ def object_facts(df: DataFrame) -> DataFrame:
     def anonymous(tag: str, condition: Column) -> list[Column]:
         bucket = F.col("bucket")
         return [
-            _one(condition, _fact(tag, bucket, F.lit("all"))),
-            _one(condition, _fact(tag, bucket, F.lit("op"), F.col("operation"))),
-            _one(condition & ip.isNotNull(), _fact(tag, bucket, F.lit("ip"), ip)),
-            _one(condition & F.col("key").isNotNull(), _fact(tag, bucket, F.lit("key"), F.col("key"))),
+            F.when(condition, _fact(tag, bucket, F.lit("all"))),
+            F.when(condition, _fact(tag, bucket, F.lit("op"), F.col("operation"))),
+            F.when(condition & ip.isNotNull(), _fact(tag, bucket, F.lit("ip"), ip)),
+            F.when(condition & F.col("key").isNotNull(), _fact(tag, bucket, F.lit("key"), F.col("key"))),
         ]
 
     facts = [
         *anonymous("anon-write", objects.anon_write()),
         *anonymous("anon-read", objects.anon_read()),
-        _one(objects.denied() & ip.isNotNull(), _fact("denied", ip, F.lit("IP"))),
-        _one(objects.denied() & req.isNotNull(), _fact("denied", req, F.lit("requester"))),
-        _one(objects.success() & d.object_delete(F.col("operation")), _fact("delete", who)),
-        _one((sent > 0) & ip.isNotNull(), _fact("egress", ip, F.lit("IP"), bytes_=sent)),
-        _one((sent > 0) & req.isNotNull(), _fact("egress", req, F.lit("requester"), bytes_=sent)),
-        _one(d.object_weak_tls(F.col("tls_version")), _fact("weak-tls", who)),
-        _one(d.yes(F.col("plain_http")), _fact("plain-http", who)),
-        _one(d.object_sigv2(F.col("sig_version")), _fact("sigv2", who)),
+        F.when(objects.denied() & ip.isNotNull(), _fact("denied", ip, F.lit("IP"))),
+        F.when(objects.denied() & req.isNotNull(), _fact("denied", req, F.lit("requester"))),
+        F.when(objects.success() & d.object_delete(F.col("operation")), _fact("delete", who)),
+        F.when((sent > 0) & ip.isNotNull(), _fact("egress", ip, F.lit("IP"), bytes_=sent)),
+        F.when((sent > 0) & req.isNotNull(), _fact("egress", req, F.lit("requester"), bytes_=sent)),
+        F.when(d.object_weak_tls(F.col("tls_version")), _fact("weak-tls", who)),
+        F.when(d.yes(F.col("plain_http")), _fact("plain-http", who)),
+        F.when(d.object_sigv2(F.col("sig_version")), _fact("sigv2", who)),
     ]
     return _fold(df, facts, "ts")
 
@@ -513,26 +518,28 @@ def flow_findings(df: DataFrame, scan_ports: int = SCAN_PORTS, sweep_hosts: int
 
 
 def flow_facts(df: DataFrame, rules: Iterable[str] | None = None) -> DataFrame:
+    """Scan, exposure, sweep, egress and legacy facts. Each flow is classified once, before the rules look at it."""
     names = None if rules is None else set(rules)
-    src, dst, size = flows.source(), flows.destination(), F.col("bytes")
+    classified = flows.classified(df)
+    src, dst, size = F.col("source"), F.col("destination"), F.col("bytes")
     by_rule = {
         # Every reject of the source, with the port only where it is a scan attempt.
         "vpc-port-scan": [
-            _one(flows.rejected() & src.isNotNull(),
-                 _fact("scan", src, item=F.when(flows.is_scan(), F.col("dst_port"))))
+            F.when(F.col("is_reject") & src.isNotNull(),
+                   _fact("scan", src, item=F.when(F.col("is_scan"), F.col("dst_port"))))
         ],
         "vpc-sensitive-port-exposed": [
-            _one(flows.is_exposed(), _fact("exposed", flows.exposed_service(), item=src, bytes_=size))
+            F.when(F.col("is_exposed"), _fact("exposed", F.col("exposed_service"), item=src, bytes_=size))
         ],
-        "vpc-host-sweep": [_one(flows.is_sweep(), _fact("sweep", src, item=dst))],
-        "vpc-large-egress": [_one(flows.is_egress() & (size > 0), _fact("egress", src, bytes_=size))],
+        "vpc-host-sweep": [F.when(F.col("is_sweep"), _fact("sweep", src, item=dst))],
+        "vpc-large-egress": [F.when(F.col("is_egress") & (size > 0), _fact("egress", src, bytes_=size))],
         "vpc-legacy-protocol": [
-            _one(flows.is_legacy_in(), _fact("legacy-in", dst, flows.service())),
-            _one(flows.is_legacy_out(), _fact("legacy-out", src, flows.service())),
+            F.when(F.col("is_legacy_in"), _fact("legacy-in", dst, F.col("service"))),
+            F.when(F.col("is_legacy_out"), _fact("legacy-out", src, F.col("service"))),
         ],
     }
     facts = [f for rule, fs in by_rule.items() if _wanted(names, rule) for f in fs]
-    return _fold(df, facts, "start")
+    return _fold(classified, facts, "start")
 
 
 def flow_rules(facts: DataFrame, first: DataFrame, scan_ports: int = SCAN_PORTS, sweep_hosts: int = SWEEP_HOSTS,

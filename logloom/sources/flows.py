@@ -122,9 +122,12 @@ def _checked() -> tuple[str, ...]:
 
 
 def _with_header(headed: DataFrame) -> DataFrame:
-    """Rows with ``header`` get their header's error, width and column places."""
+    """Rows with ``header`` get its error, its width and the places of its columns, once per file."""
     named = headed.withColumn("names", _names(F.col("header")))
-    return named.withColumn("header_err", _header_error(F.col("names"))).withColumn("n_names", F.size("names"))
+    return named.select(
+        "*", _header_error(F.col("names")).alias("header_err"), F.size("names").alias("n_names"),
+        _positions(F.col("names")).alias("places"),
+    )
 
 
 def parse_flow_files(contents: DataFrame) -> Parsed:
@@ -136,9 +139,7 @@ def parse_flow_files(contents: DataFrame) -> Parsed:
         )
     )
     usable = F.when(F.col("header_err").isNull(), F.col("lines"))
-    rows = files.select(
-        "file", "n_names", _positions(F.col("names")).alias("places"), F.posexplode(usable).alias("pos", "line")
-    ).select("file", F.col("pos").cast("bigint").alias("pos"), "line", "n_names", "places")
+    rows = files.select("file", "n_names", "places", F.posexplode(usable).alias("pos", "line")).select("file", F.col("pos").cast("bigint").alias("pos"), "line", "n_names", "places")
     unreadable = files.where(F.col("header_err").isNotNull()).select("file", F.col("header_err").alias("err"))
     return parse_flow_rows(rows, unreadable)
 
@@ -147,9 +148,7 @@ def parse_flow_lines(lines: DataFrame) -> Parsed:
     """Lines ``(file, pos, line)`` of large files to flows: the first line of each file is its header."""
     first = lines.groupBy("file").agg(F.min("pos").alias("first"), F.min_by("line", "pos").alias("header"))
     headers = _with_header(first)
-    places = headers.where(F.col("header_err").isNull()).select(
-        "file", "first", "n_names", _positions(F.col("names")).alias("places")
-    )
+    places = headers.where(F.col("header_err").isNull()).select("file", "first", "n_names", "places")
     rows = lines.join(places, "file").where(F.col("pos") != F.col("first")).drop("first")
     unreadable = headers.where(F.col("header_err").isNotNull()).select("file", F.col("header_err").alias("err"))
     return parse_flow_rows(rows, unreadable)

@@ -57,11 +57,11 @@ def _by_kind(values: dict[str, int]) -> Column:
 def _field(name: str) -> Column:
     """The field's token, NULL where the layout has none or logs ``-``."""
     places = {kind: at[name] for kind, at in POSITIONS.items() if name in at}
-    return x.known(F.get(F.col("tokens"), _by_kind(places)))
+    return x.known(x.unquoted(F.get(F.col("tokens"), _by_kind(places))))
 
 
 def _tokenized(lines: DataFrame, kind: Column) -> DataFrame:
-    return lines.select("file", "pos", kind.alias("kind"), x.quoted_tokens(F.col("line")).alias("tokens"))
+    return lines.select("file", "pos", kind.alias("kind"), x.raw_tokens(F.col("line")).alias("tokens"))
 
 
 def parse_lb(lines: DataFrame) -> Parsed:
@@ -109,10 +109,13 @@ def parse_lb(lines: DataFrame) -> Parsed:
 
 def parse_lb_conns(lines: DataFrame) -> Parsed:
     """Connection-log lines ``(file, pos, line)`` to connections."""
-    tokens = lines.select("file", "pos", x.quoted_tokens(F.col("line")).alias("tokens"))
+    tokens = lines.select("file", "pos", x.raw_tokens(F.col("line")).alias("tokens"))
     fields = tokens.select(
         "file", "pos", F.size("tokens").alias("n_tokens"),
-        *[x.token(F.col("tokens"), i).alias(name) for name, i in CONNECTION_POSITIONS.items()],
+        *[
+            x.known(x.unquoted(F.get(F.col("tokens"), F.lit(i)))).alias(name)
+            for name, i in CONNECTION_POSITIONS.items()
+        ],
     ).withColumn("ts", x.rfc3339(F.col("time")))
     names = (
         "ts lb client_ip client_port listener ssl_protocol ssl_cipher tls_handshake_time client_cert_subject "

@@ -46,11 +46,11 @@ class Parsed:
 def parsed(rows: DataFrame, unreadable: DataFrame | None = None) -> Parsed:
     """Split rows ``(file, pos, rec, err)`` into records and bad lines.
 
-    The record is unfolded from an array that is empty for a bad line, so the
-    line is parsed once per row and not once more for the filter.
+    Both are unfolded from an array that is empty on the other side. A filter
+    would be pushed below the projections and parse every line a second time.
     """
     good = rows.select("file", F.inline(F.when(F.col("err").isNull(), F.array("rec"))))
-    bad = rows.where(F.col("err").isNotNull()).select("file", "pos", "err")
+    bad = rows.select("file", "pos", F.explode(F.when(F.col("err").isNotNull(), F.array("err"))).alias("err"))
     if unreadable is None:
         unreadable = no_rows(rows.sparkSession, "file string, err string")
     return Parsed(good, bad, unreadable, rows)

@@ -31,14 +31,14 @@ _REQUEST = r"(?s)^([^ ]*) ?(.*?)(?: (HTTP/[^ ]*))?$"
 def parse_objects(lines: DataFrame) -> Parsed:
     """Lines ``(file, pos, line)`` to object-access requests."""
     tokens = lines.select(
-        "file", "pos", x.bracketed_tokens(F.col("line")).alias("tokens"), x.unterminated(F.col("line")).alias("open")
+        "file", "pos", x.raw_bracketed_tokens(F.col("line")).alias("tokens"), x.unterminated(F.col("line")).alias("open")
     )
     t = F.col("tokens")
     fields = tokens.select(
         "file", "pos", "open", F.size("tokens").alias("n_tokens"),
         F.get(t, F.lit(POSITIONS["tls_version"])).alias("raw_tls"),
-        x.clf_time(F.get(t, F.lit(POSITIONS["time"]))).alias("ts"),
-        *[x.token(t, i).alias(name) for name, i in POSITIONS.items() if name != "time"],
+        x.clf_time(x.unbracketed(F.get(t, F.lit(POSITIONS["time"])))).alias("ts"),
+        *[x.known(x.unbracketed(F.get(t, F.lit(i)))).alias(name) for name, i in POSITIONS.items() if name != "time"],
     )
     c = F.col
     derived = {
