@@ -301,6 +301,27 @@ def queries() -> dict[str, Query]:
             lambda t: reports.flow_tables(t.flows),
             q.tables(q.counters("flows", DIMS), reports.FLOW_TABLES, "flows", {"bytes_by_action", "pair_bytes"}, 10, q.ACTION_TONE),
         ),
+        "jon_04": Query(
+            lambda t: rules.flow_facts(flows.only_flows(t.flows), ["vpc-port-scan"]).groupBy("actor").agg(
+                F.sum("n").alias("rejects"), F.count("item").alias("ports")
+            ),
+            f"SELECT {SRC} AS actor, count(*) AS rejects, count(DISTINCT CASE WHEN {SCAN} THEN dst_port END) AS ports FROM flows WHERE {OK} AND action = 'REJECT' GROUP BY 1",
+        ),
+        "rnk_07": Query(
+            lambda t: rules._leaders(
+                rules.flow_facts(flows.only_flows(t.flows), ["vpc-sensitive-port-exposed"]), ["actor"], rules._by_count(), 5, rules._counted_item()
+            ),
+            "SELECT k AS actor, string_agg(src || ' (' || n || ')', ', ' ORDER BY n DESC, src) FILTER (place <= 5) AS leaders FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, src) AS place FROM "
+            f"(SELECT {EXPOSED_KEY} AS k, {SRC} AS src, count(*) AS n FROM flows WHERE {EXPOSED} GROUP BY 1, 2)) GROUP BY 1",
+        ),
+        "rnk_08": Query(
+            lambda t: rules._leaders(
+                rules.flow_facts(flows.only_flows(t.flows), ["vpc-port-scan"]).where("item is not null"), ["actor"],
+                [F.col("item").try_cast("int").asc()], 10, F.col("item"),
+            ),
+            "SELECT source AS actor, array_to_string(list_sort(list(dst_port))[1:10], ', ') AS leaders FROM "
+            f"(SELECT DISTINCT {SRC} AS source, dst_port FROM flows WHERE {SCAN}) GROUP BY 1",
+        ),
         "rul_fl_all": Query(findings, ALL_SQL),
         "rul_gn_01": Query(
             lambda t: rules.gate(findings(t), "critical"),

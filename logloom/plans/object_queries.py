@@ -95,6 +95,14 @@ def findings(t):
     return rules.object_findings(t.object_requests, **LIMITS)
 
 
+def _operation_classes(t):
+    op = F.col("operation")
+    return t.object_requests.groupBy(
+        "operation", d.object_write(op).alias("w"), d.object_delete(op).alias("x"), d.object_multi_delete(op).alias("m"),
+        d.object_read(op).alias("r"), d.object_access_change(op).alias("c"),
+    ).count()
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
 
@@ -114,7 +122,7 @@ def queries() -> dict[str, Query]:
         out[f"rul_ob_0{i}"] = Query(
             lambda t, r=rule: rules.object_findings(t.object_requests, **LIMITS, rules=[r]), RULES[rule]
         )
-    op = F.col("operation")
+
     out |= {
         "agg_ob_01": Query(lambda t: objects.totals(t.object_requests), TOTALS),
         "agg_ob_counters": Query(lambda t: objects.counters(t.object_requests), q.counters(O, DIMS)),
@@ -151,17 +159,14 @@ def queries() -> dict[str, Query]:
             f"SELECT {WHO} AS principal, {OKAY} AS success, status >= 400 OR error_code IS NOT NULL AS is_error, {IS_DENIED} AS denied, count(*) AS count FROM object_requests GROUP BY 1, 2, 3, 4",
         ),
         "prj_32": Query(
-            lambda t: t.object_requests.groupBy(
-                "operation", d.object_write(op).alias("w"), d.object_delete(op).alias("x"), d.object_multi_delete(op).alias("m"),
-                d.object_read(op).alias("r"), d.object_access_change(op).alias("c"),
-            ).count(),
+            _operation_classes,
             f"SELECT operation, {WRITES} AS w, {DELETE} AS x, {MULTI} AS m, {READS} AS r, {CHANGES} AS c, count(*) AS count FROM object_requests GROUP BY ALL",
         ),
         "prj_33_34": Query(
             lambda t: t.object_requests.groupBy(
                 d.tls_version(F.upper("tls_version")).alias("tls"), d.object_weak_tls(F.col("tls_version")).alias("weak"),
                 d.object_sigv2(F.col("sig_version")).alias("sigv2"),
-                d.plain_http(F.coalesce("tls_version", F.lit("-")), op).alias("plain"), "plain_http",
+                d.plain_http(F.coalesce("tls_version", F.lit("-")), F.col("operation")).alias("plain"), "plain_http",
             ).count(),
             f"SELECT replace(upper(tls_version), 'TLSV', 'TLSv') AS tls, coalesce({WEAK}, false) AS weak, sig_version = 'SigV2' AS sigv2, "
             "tls_version IS NULL AND operation LIKE 'REST.%' AS plain, plain_http, count(*) AS count FROM object_requests GROUP BY 1, 2, 3, 4, 5",

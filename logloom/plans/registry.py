@@ -44,12 +44,13 @@ def _callable(q: Query) -> Callable[[SparkSession, str], DataFrame]:
 
 def all_queries() -> dict[str, Query]:
     from logloom.plans import (
-        audit_queries, flow_queries, history_queries, lb_queries, object_queries, source_queries, waf_queries,
+        audit_queries, flow_queries, history_queries, lb_queries, object_queries, source_queries, stream_queries, waf_queries,
     )
 
     out: dict[str, Query] = {}
     for module in (
         flow_queries, lb_queries, waf_queries, object_queries, audit_queries, source_queries, history_queries,
+        stream_queries,
     ):
         for name, q in module.queries().items():
             if name in out:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
 from logloom.functions import text as x
+from logloom.operators.filters import AuditFilter
 from logloom.plans import render
 from logloom.plans.fixtures import DERIVED
 from logloom.plans.registry import Query
@@ -241,6 +242,22 @@ def queries() -> dict[str, Query]:
             ),
             f"SELECT DISTINCT '1_vpcflowlogs_us-east-1_fl-' || file_no || '.log.gz' AS file FROM {FLOW_ROWS} WHERE file_no % 10 <> 0",
         ),
+        "set_05": Query(
+            lambda t: lines.unseen(object_text(t).select("file").distinct(), object_text(t).where("file LIKE '%bkt-1%'").select("file").distinct()),
+            "SELECT DISTINCT 'logs/111122223333/us-east-1/' || bucket || '/2024/01/01/2024-01-01-00-00-00-ABCDEF' AS file FROM object_requests WHERE bucket <> 'bkt-1'",
+        ),
+        "src_02": Query(
+            lambda t: AuditFilter(since=datetime(1995, 1, 1, 6), until=datetime(1995, 6, 1)).apply(audit.parse_audit(audit_text(t)).good).select("event_id", "event_time"),
+            f"SELECT event_id, date_trunc('second', event_time) AS event_time FROM {AUDIT_ROWS} WHERE file_no % 10 <> 3 AND event_time >= TIMESTAMP '1995-01-01 06:00:00' AND event_time < TIMESTAMP '1995-06-01'",
+        ),
+        "prj_21_28": Query(
+            lambda t: waf.parse_waf(waf_text(t)).good.groupBy(
+                "web_acl", "rule", "rule_group", F.array_join("labels", ",").alias("labels"), F.array_join("count_rules", ",").alias("count_rules"), "rate_rule", "challenge_failed",
+                "host", "user_agent",
+            ).count(),
+            "SELECT web_acl, coalesce(rate_rule, rule) AS rule, CASE WHEN rate_rule IS NULL THEN rule_group END AS rule_group, array_to_string(labels, ',') AS labels, count_rules_csv AS count_rules, rate_rule, "
+            f"challenge_failed, host, user_agent, count(*) AS count FROM {WAF_ROWS} WHERE NOT ({WAF_BAD}) GROUP BY ALL",
+        ),
         "fnc_01_02": Query(
             lambda t: t.read("events").select(
                 "event_id", F.concat(F.lit('a "'), "event_type", F.lit(' \\"q\\" " [x y] '), "props").alias("line")

@@ -223,19 +223,3 @@ AUDIT = Family(
 
 FAMILIES = {f.name: f for f in (FLOWS, WAF, OBJECTS, LOAD_BALANCER, AUDIT)}
 
-
-def minute_stream(requests: DataFrame, late: str = "1 day") -> DataFrame:
-    """The per-minute timeline as a continuous aggregation of a request stream."""
-    return (
-        requests.withWatermark("ts", late)
-        .groupBy(F.window("ts", "1 minute").alias("w"))
-        .agg(
-            F.count("*").alias("requests"),
-            F.count_if(F.startswith(F.col("elb_status"), F.lit("5"))).alias("errors_5xx"),
-            F.count_if(lb.conn_error()).alias("conn_errors"),
-            F.sum("latency").alias("latency_sum"), F.count("latency").alias("latency_count"),
-            F.max("latency").alias("latency_max"),
-        )
-        .select(F.col("w.start").alias("minute"), "requests", "errors_5xx", "conn_errors", "latency_sum", "latency_count", "latency_max")
-    )
-
