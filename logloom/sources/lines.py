@@ -118,25 +118,28 @@ def salvage_contents(spark: SparkSession, paths, keep: Callable[[Column], Column
 
 
 def decode_contents(raw: DataFrame) -> DataFrame:
-    """Decode ``binaryFile`` rows; works on batches and on streams."""
-    return raw.select("path", "content").mapInPandas(_decode_batches, CONTENT_SCHEMA + ", err string")
+    """Decode ``binaryFile`` rows; works on batches and on streams.
 
+    The task function is local, so it travels to the executors by value and
+    needs no installed package there.
+    """
 
-def _decode(data: bytes) -> tuple[str | None, str | None]:
-    try:
-        if data[:2] == b"\x1f\x8b":
-            data = gzip.decompress(data)
-        return data.decode("utf-8", errors="replace"), None
-    except (OSError, EOFError, zlib.error):
-        return None, "corrupt gzip data"
-
-
-def _decode_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = [_decode(bytes(data)) for data in pdf["content"]]
-        yield pd.DataFrame(
-            {"file": pdf["path"].to_list(), "content": [c for c, _ in out], "err": [e for _, e in out]}
-        )
+    def decode(data: bytes) -> tuple[str | None, str | None]:
+        try:
+            if data[:2] == b"\x1f\x8b":
+                data = gzip.decompress(data)
+            return data.decode("utf-8", errors="replace"), None
+        except (OSError, EOFError, zlib.error):
+            return None, "corrupt gzip data"
+
+    def decode_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [decode(bytes(data)) for data in pdf["content"]]
+            yield pd.DataFrame(
+                {"file": pdf["path"].to_list(), "content": [c for c, _ in out], "err": [e for _, e in out]}
+            )
+
+    return raw.select("path", "content").mapInPandas(decode_batches, CONTENT_SCHEMA + ", err string")
 
 
 def lines_of(contents: DataFrame) -> DataFrame:
