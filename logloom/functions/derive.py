@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logloom.functions.text import known, present
+from logloom.functions.text import present
 
 # Fixed values -------------------------------------------------------------
 
@@ -391,6 +391,3 @@ def minute_of(ts: Column) -> Column:
 
 def hour_of(ts: Column) -> Column:
     return F.date_trunc("hour", ts)
-
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("F", "Column", "annotations", "known")]

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, fields
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -322,9 +322,3 @@ def emitted_flows(df: DataFrame, mode: str = "reject") -> DataFrame:
     if mode != "reject":
         raise ValueError(f"unknown emit mode {mode!r}")
     return df.where(~d.yes(F.col("action") == "ACCEPT"))
-
-
-__all__ = [
-    "AuditFilter", "FlowFilter", "LbFilter", "ObjectFilter", "WafFilter", "emitted_flows", "field", "in_window",
-    "parse_ports", "parse_protocols", "parse_size", "status_pattern",
-]

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions import derive as d
 from logloom.operators import audit, flows, lb, objects, waf
-from logloom.operators.counters import Dim, counter, fold_tail, mean, measured, remeasured, top_n, unpivot
+from logloom.operators.counters import Dim, count_by, fold_tail, mean, measured, remeasured, unpivot
 from logloom.operators.series import LATENCY_CRIT, LATENCY_WARN
 
 # Warn and crit limits of the gauges.
@@ -93,8 +93,6 @@ def slowest_paths(df: DataFrame, n: int = 10) -> DataFrame:
 
 def path_table(df: DataFrame, n: int = 10) -> DataFrame:
     """Slowest paths with percentages of the slowest maximum shown, and tones."""
-    from pyspark.sql import Window
-
     rows = slowest_paths(df, n)
     top = F.max("max").over(Window.partitionBy(F.lit(1)))
 
@@ -110,10 +108,8 @@ def path_table(df: DataFrame, n: int = 10) -> DataFrame:
     )
 
 
-def ring(counts: DataFrame, n: int = 5, total: DataFrame | None = None) -> DataFrame:
+def ring(counts: DataFrame, n: int = 5) -> DataFrame:
     """Top keys and ``Other`` with percentages of the whole."""
-    from pyspark.sql import Window
-
     rows = fold_tail(counts, n, other="Other")
     dims = ["dim"] if "dim" in counts.columns else []
     w = Window.partitionBy(*(dims or [F.lit(1)]))
@@ -130,8 +126,6 @@ def ring_dims() -> dict[str, Dim]:
 
 
 def rings(df: DataFrame) -> DataFrame:
-    from logloom.operators.counters import count_by
-
     return ring(count_by(df, ring_dims()))
 
 
@@ -140,8 +134,6 @@ def failing_requests(matches: DataFrame, shown: int = FAILING_SHOWN) -> DataFram
 
     ``matches`` is the already limited match list, so the windows stay small.
     """
-    from pyspark.sql import Window
-
     status = F.col("elb_status")
     level = F.when(F.rlike(status, F.lit("(?s)^5..$")), "error").when(F.rlike(status, F.lit("(?s)^4..$")), "warning")
     rows = matches.withColumn("level", level).where(F.col("level").isNotNull())
@@ -287,6 +279,3 @@ def flow_matches(df: DataFrame, n: int = 200) -> DataFrame:
         "packets", "bytes", F.col("flow_direction").alias("direction"), "vpc_id",
     )
     return rows.orderBy(*rows.columns).limit(n)
-
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["counter", "top_n"]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions import derive as d
-from logloom.operators import audit, flows, lb, objects
+from logloom.operators import flows, lb, objects
 
 MAX_EVENT_LINE = 128 << 10
 
@@ -236,6 +236,3 @@ def fan_out(lines: DataFrame, *writers) -> None:
             write(kept)
     finally:
         kept.unpersist()
-
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["audit"]

@@ -197,7 +197,7 @@ def _fold(df: DataFrame, facts: Sequence[Column], ts: str, many: Column | None =
     )
 
 
-def _leaders(facts: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, text: Column) -> DataFrame:
+def leading_items(facts: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, text: Column) -> DataFrame:
     """``key (n), key (n)`` of the leading items per group; cut to ``n`` before they are collected."""
     w = Window.partitionBy(*keys).orderBy(*order)
     entry = F.struct(F.col("place"), text.alias("text"))
@@ -209,11 +209,11 @@ def _leaders(facts: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
     )
 
 
-def _by_count() -> list[Column]:
+def by_count() -> list[Column]:
     return [F.desc("n"), F.asc("item")]
 
 
-def _counted_item() -> Column:
+def counted_item() -> Column:
     return F.concat("item", F.lit(" ("), F.col("n").cast("string"), F.lit(")"))
 
 
@@ -297,9 +297,9 @@ def waf_rules(clients: DataFrame, facts: DataFrame, first: DataFrame, block_thre
     blocks, allows, fails, exploits = (F.col(c) for c in ("blocks", "allows", "challenge_fails", "exploits"))
     named = F.col("actor") != ""
     listed = facts.where(F.col("item").isNotNull() & F.col("tag").isin("rate", "exploit"))
-    leaders = _leaders(
-        listed, ["tag", "actor"], _by_count(), 5,
-        F.when(F.col("tag") == "rate", _counted_item()).when(F.col("place") <= 3, F.col("item")),
+    leaders = leading_items(
+        listed, ["tag", "actor"], by_count(), 5,
+        F.when(F.col("tag") == "rate", counted_item()).when(F.col("place") <= 3, F.col("item")),
     )
     per_client = {
         "waf-attacker-allowed": (
@@ -487,7 +487,7 @@ def object_rules(facts: DataFrame, changes: DataFrame, first: DataFrame, denied_
         totals = facts.where(tag.isin(*tags) & F.col("item").isNull())
         if _any_wanted(names, with_leaders):
             listed = facts.where(F.col("item").isNotNull() & tag.isin("anon-write", "anon-read"))
-            top = _leaders(listed, ["tag", "actor", "extra"], _by_count(), 3, _counted_item())
+            top = leading_items(listed, ["tag", "actor", "extra"], by_count(), 3, counted_item())
             by_kind = top.groupBy("tag", "actor").agg(
                 *[F.max(F.when(extra == kind, F.col("leaders"))).alias(f"top_{kind}") for kind in ("op", "ip", "key")]
             )
@@ -557,9 +557,9 @@ def flow_rules(facts: DataFrame, first: DataFrame, scan_ports: int = SCAN_PORTS,
         F.asc(F.when(tag == "scan", F.col("item").try_cast("int")).otherwise(-n)),
         F.asc("item"),
     )
-    leaders = _leaders(
+    leaders = leading_items(
         listed, ["tag", "actor"], order, 10,
-        F.when(tag == "scan", F.col("item")).when(F.col("place") <= 5, _counted_item()),
+        F.when(tag == "scan", F.col("item")).when(F.col("place") <= 5, counted_item()),
     )
     ports, hosts = F.lit(scan_ports), F.lit(sweep_hosts)
     judged = {

@@ -308,14 +308,14 @@ def queries() -> dict[str, Query]:
             f"SELECT {SRC} AS actor, count(*) AS rejects, count(DISTINCT CASE WHEN {SCAN} THEN dst_port END) AS ports FROM flows WHERE {OK} AND action = 'REJECT' GROUP BY 1",
         ),
         "rnk_07": Query(
-            lambda t: rules._leaders(
-                rules.flow_facts(flows.only_flows(t.flows), ["vpc-sensitive-port-exposed"]), ["actor"], rules._by_count(), 5, rules._counted_item()
+            lambda t: rules.leading_items(
+                rules.flow_facts(flows.only_flows(t.flows), ["vpc-sensitive-port-exposed"]), ["actor"], rules.by_count(), 5, rules.counted_item()
             ),
             "SELECT k AS actor, string_agg(src || ' (' || n || ')', ', ' ORDER BY n DESC, src) FILTER (place <= 5) AS leaders FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, src) AS place FROM "
             f"(SELECT {EXPOSED_KEY} AS k, {SRC} AS src, count(*) AS n FROM flows WHERE {EXPOSED} GROUP BY 1, 2)) GROUP BY 1",
         ),
         "rnk_08": Query(
-            lambda t: rules._leaders(
+            lambda t: rules.leading_items(
                 rules.flow_facts(flows.only_flows(t.flows), ["vpc-port-scan"]).where("item is not null"), ["actor"],
                 [F.col("item").try_cast("int").asc()], 10, F.col("item"),
             ),

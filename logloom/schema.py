@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 AUDIT_EVENTS = """
 event_version string, event_time timestamp, event_source string, event_name string, aws_region string,
@@ -97,9 +98,7 @@ def parse_severity(text: str) -> str:
     return name
 
 
-def struct_of(ddl: str):
-    from pyspark.sql.types import StructType
-
+def struct_of(ddl: str) -> StructType:
     return StructType.fromDDL(ddl)
 
 

@@ -15,7 +15,7 @@ from logloom.functions import net
 from logloom.functions import text as x
 from logloom.sources import scope as s
 from logloom.sources.lines import (
-    LINE_SCHEMA, Parsed, _load, clean, no_rows, parsed, salvage_contents, unreadable_of,
+    LINE_SCHEMA, Parsed, load_text, clean, no_rows, parsed, salvage_contents, unreadable_of,
 )
 
 MAX_WHOLE_FILE = 64 << 20
@@ -161,17 +161,17 @@ def _union(a: Parsed, b: Parsed) -> Parsed:
 def read_flows(spark: SparkSession, paths, strict_files: bool = True, max_whole_file: int = MAX_WHOLE_FILE) -> Parsed:
     """Flows of text files with their own headers."""
     if not strict_files:
-        found = salvage_contents(spark, paths, _is_text_flow)
+        found = salvage_contents(spark, paths, is_text_flow)
         out = parse_flow_files(found.where(F.col("err").isNull()).select("file", "content"))
         return Parsed(out.good, out.bad, out.unreadable.unionByName(unreadable_of(found)))
     size = F.col("_metadata.file_size")
-    whole = _load(
-        spark, paths, lambda p: _is_text_flow(p) & (size <= max_whole_file),
+    whole = load_text(
+        spark, paths, lambda p: is_text_flow(p) & (size <= max_whole_file),
         [F.col("_metadata.file_path").alias("file"), F.col("value").alias("content")],
         "file string, content string", wholetext=True,
     )
-    large = _load(
-        spark, paths, lambda p: _is_text_flow(p) & (size > max_whole_file),
+    large = load_text(
+        spark, paths, lambda p: is_text_flow(p) & (size > max_whole_file),
         [
             F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("pos"),
             F.col("value").alias("line"),
@@ -181,7 +181,7 @@ def read_flows(spark: SparkSession, paths, strict_files: bool = True, max_whole_
     return _union(parse_flow_files(whole), parse_flow_lines(clean(large)))
 
 
-def _is_text_flow(path: Column) -> Column:
+def is_text_flow(path: Column) -> Column:
     return s.is_flow_file(path) & F.endswith(path, F.lit(".log.gz"))
 
 

@@ -60,7 +60,7 @@ def no_rows(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def _load(spark: SparkSession, paths, keep, columns: list[Column], schema: str, **options) -> DataFrame:
+def load_text(spark: SparkSession, paths, keep, columns: list[Column], schema: str, **options) -> DataFrame:
     """Text of the files that pass ``keep``; a path that matches nothing gives no rows."""
     wanted = [paths] if isinstance(paths, str) else [p for p in (paths or []) if p]
     if not wanted:
@@ -83,13 +83,13 @@ def read_lines(spark: SparkSession, paths, keep: Callable[[Column], Column] | No
         F.monotonically_increasing_id().alias("pos"),
         F.col("value").alias("line"),
     ]
-    return clean(_load(spark, paths, keep, columns, LINE_SCHEMA))
+    return clean(load_text(spark, paths, keep, columns, LINE_SCHEMA))
 
 
 def read_contents(spark: SparkSession, paths, keep: Callable[[Column], Column] | None = None) -> DataFrame:
     """``(file, content)``: one row per file, for envelopes that only make sense whole."""
     columns = [F.col("_metadata.file_path").alias("file"), F.col("value").alias("content")]
-    return _load(spark, paths, keep, columns, CONTENT_SCHEMA, wholetext=True)
+    return load_text(spark, paths, keep, columns, CONTENT_SCHEMA, wholetext=True)
 
 
 def clean(lines: DataFrame) -> DataFrame:

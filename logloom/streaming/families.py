@@ -91,7 +91,7 @@ def _flow_summary(frames: Frames) -> Frames:
 
 
 FLOWS = Family(
-    name="vpc", keep=flow_source._is_text_flow, whole_files=True,
+    name="vpc", keep=flow_source.is_text_flow, whole_files=True,
     parse=lambda df: {"records": flow_source.parse_flow_files(df)},
     select=_flow_select,
     encode=lambda fr, run: lines.flow_lines(emitted_flows(flows.only_flows(fr["records"])), run),
