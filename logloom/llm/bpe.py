@@ -19,11 +19,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words remembered with their ids, besides those of the texts at hand.
-REMEMBERED_WORDS = 500_000
+REMEMBERED_WORDS = 400_000
 #: Fragments of more symbols than this are merged with a heap.
 LONG_FRAGMENT = 64
 #: Texts whose words are encoded together.
@@ -175,7 +176,9 @@ class Encoder:
     def _runs(self, text: str) -> list[str]:
         """What stands between gaps, in normal form and lower case."""
         # One character at a time: a capital sigma has one lower form, wherever it stands.
-        return self.gap.split(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        # split() also takes these four for white space, which the vocabulary's rule does not.
+        return self.gap.split(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
 
     def _pieces(self, text: str) -> list[str]:
         """Runs and special tokens; with an unused character before a special token, which no run holds."""
@@ -187,9 +190,17 @@ class Encoder:
             at = m.end()
         return out + self._runs(text[at:])
 
+    def _words(self, run: str) -> list[str]:
+        """A run's words; letters alone and letters with one mark behind need no pattern."""
+        if run.isalpha():
+            return [run]
+        if run[:-1].isalpha() and not run[-1].isalnum():
+            return [run[:-1], run[-1]]
+        return self.words.findall(run)
+
     def _learn(self, runs: set[str]) -> None:
         """Remember the ids of new runs; their words are encoded together."""
-        split = {run: self.words.findall(run) for run in runs if run[:1] != " "}
+        split = {run: self._words(run) for run in runs if run[:1] != " "}
         new = [*set(chain.from_iterable(split.values())).difference(self.known)]
         self.known.update(zip(new, map(tuple, self.vocabulary.words(new))))
         get = self.known.__getitem__
@@ -221,9 +232,16 @@ def _encoder(path: str):
 
 def _decoder(path: str):
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        token = Vocabulary(path).tokens.__getitem__
+        names = Vocabulary(path).tokens
+        tokens = pa.array([names.get(i) for i in range(max(names) + 1)], pa.string())
         for lists in batches:
-            yield pa.array([None if ids is None else " ".join(map(token, ids)) for ids in lists.to_pylist()], pa.string())
+            parts = []
+            for start in range(0, len(lists), TEXTS_AT_ONCE):
+                some = lists.slice(start, TEXTS_AT_ONCE)
+                ends = np.cumsum(np.append(0, some.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))).astype(np.int32)
+                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), tokens.take(some.flatten())), " ")
+                parts.append(pc.if_else(some.is_valid(), joined, None))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return F.arrow_udf(decoded, "string")
 

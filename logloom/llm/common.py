@@ -30,7 +30,7 @@ def text_or_empty(column: str) -> Column:
 
 def spaced(text: Column) -> Column:
     """The text with every gap as one space; nothing is trimmed."""
-    return F.regexp_replace(text, GAP, " ")
+    return F.regexp_replace(text, r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " ")
 
 
 def ascii_lower(text: Column) -> Column:

@@ -106,13 +106,14 @@ def exact_dedup(
     """
     hasher = _chunk_hasher(primes, BASES, chunk_bytes)
     norm = F.encode(spaced(text_or_empty(text)), "UTF-8")
-    base = docs.select(
-        F.col(f"`{doc_id}`").alias("__id"), chunked(norm, chunk_bytes).alias("__chunks"),
+    # A column of its own, used twice: else every chunk would normalise its text again.
+    base = docs.withColumn("__norm", norm).select(
+        F.col(f"`{doc_id}`").alias("__id"), chunked(F.col("__norm"), chunk_bytes).alias("__chunks"),
         *[c.alias(name) for name, c in (carry or {}).items()],
     )
     base = base.withColumn("__f", combine(hasher("__chunks"), primes)).select("*", "__f.n", "__f.h1", "__f.h2")
     fp = ["n", "h1", "h2"]
-    rows = base.select("__id", *fp, *(carry or {}))
+    rows = keep(base.select("__id", *fp, *(carry or {})), "fingerprints")
     places = base.select(*fp, F.posexplode("__chunks").alias("place", "chunk"))
     differing = places.groupBy(*fp, "place").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high")).where("low <> high")
     differing = keep(differing.select(*fp).distinct(), "unequal")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import bpe, exact_dedup, line_dedup, mixing, quality, toxicity
+from logloom.llm import bpe, exact_dedup, line_dedup, mixing, near_dedup, quality, toxicity
 from logloom.llm.common import spaced, text_or_empty
 
 WORD_SQL = r"[^\x20\x09-\x0D]+"
@@ -16,6 +16,7 @@ GAP_SQL = r"[\x20\x09-\x0D]+"
 #: Documents below this quality are rejected: surely junk only.
 QUALITY_FLOOR = 0.5
 TOXIC_FROM = 0.7
+NEAR_PERCENT = 85
 BOILERPLATE_RATIO, BOILERPLATE_PAGES = 0.1, 5
 VOCABULARY_FILE = "word_bpe_49k.json"
 
@@ -57,6 +58,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"), carry={"text_sha256": digest})
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(read(spark, sf_dir, "documents"), NEAR_PERCENT)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     third = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3
@@ -123,8 +128,11 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    # Imported here: the pipeline is made of this package's operators.
+    import corpus_pipeline
+
     named = {name: f for name, f in vars(sys.modules[__name__]).items() if name.startswith("op") and callable(f)}
-    return dict(sorted(named.items(), key=lambda x: int(x[0][2:].split("_")[0])))
+    return dict(sorted(named.items(), key=lambda x: int(x[0][2:].split("_")[0]))) | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
