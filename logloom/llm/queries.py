@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import bpe, exact_dedup, line_dedup, mixing, near_dedup, quality, toxicity
+from logloom.llm import ann, bpe, exact_dedup, line_dedup, mixing, near_dedup, quality, toxicity
 from logloom.llm.common import spaced, text_or_empty
 
 WORD_SQL = r"[^\x20\x09-\x0D]+"
@@ -17,6 +17,7 @@ GAP_SQL = r"[\x20\x09-\x0D]+"
 QUALITY_FLOOR = 0.5
 TOXIC_FROM = 0.7
 NEAR_PERCENT = 85
+NEIGHBOURS = 10
 BOILERPLATE_RATIO, BOILERPLATE_PAGES = 0.1, 5
 VOCABULARY_FILE = "word_bpe_49k.json"
 
@@ -58,6 +59,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"), carry={"text_sha256": digest})
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return ann.nearest_neighbours(vectors, vectors.where("vec_id % 100 = 0"), NEIGHBOURS)
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(read(spark, sf_dir, "documents"), NEAR_PERCENT)
 
