@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import ann, bpe, exact_dedup, line_dedup, mixing, near_dedup, quality, toxicity
+from logloom.llm import ann, bpe, exact_dedup, line_dedup, lm_scoring, mixing, near_dedup, quality, substring_dedup, toxicity
 from logloom.llm.common import spaced, text_or_empty
 
 WORD_SQL = r"[^\x20\x09-\x0D]+"
@@ -59,6 +59,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"), carry={"text_sha256": digest})
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.shared_passages(read(spark, sf_dir, "documents"))
+
+
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings")
     return ann.nearest_neighbours(vectors, vectors.where("vec_id % 100 = 0"), NEIGHBOURS)
@@ -68,6 +72,10 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(read(spark, sf_dir, "documents"), NEAR_PERCENT)
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.stupid_backoff(read(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     third = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3
