@@ -6,8 +6,9 @@ In a small region all are candidates of each other; in a dense one a document's
 which share the longest prefixes: the depth adapts to the region. Sorting is by range, which also splits a region that
 holds a third of the corpus.
 
-Candidates are confirmed on full sets, nearest rows first; pairs of rows further apart only matter where those links left
-two components, and are confirmed then.
+Candidates are confirmed on full sets, nearest rows first. In regions that reach further, the forest is searched again
+with the components found so far: rows of a document's own component are passed over, so that it meets others within
+``FAR_ROWS`` rows. This goes on until a search adds no link.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ WORDS = 5
 TREES, MIN_DEPTH, DEPTH = 16, 5, 10
 HASHES = TREES * MIN_DEPTH
 #: Rows next to each other that are compared at once, and those that are compared if they are in two components still.
+#: A pair one row beyond the near ones isn't compared, it marks a dense region.
 NEAR_ROWS, FAR_ROWS = 8, 32
 _BLOCK = 1 << 16
 
@@ -89,11 +91,11 @@ def _tree_places(tree: int) -> list[int]:
 
 
 def forest(classes: DataFrame) -> DataFrame:
-    """(id, n_shingles, signature) -> rows (tree, order, id, n_shingles), sorted in partitions by range."""
+    """(id, n_shingles, signature, component) -> rows (tree, order, id, n_shingles, component), sorted in partitions by range."""
     rows = []
     for tree in range(TREES):
         order = F.concat(*[F.substring("signature", 4 * k + 1, 4) for k in _tree_places(tree)])
-        rows.append(F.struct(F.lit(tree).alias("tree"), order.alias("order"), "id", "n_shingles"))
+        rows.append(F.struct(F.lit(tree).alias("tree"), order.alias("order"), "id", "n_shingles", "component"))
     partitions = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         classes.select(F.inline(F.array(*rows)))
@@ -101,34 +103,31 @@ def forest(classes: DataFrame) -> DataFrame:
     )
 
 
-def neighbours(percent: int):
-    """Sorted rows of a partition -> candidate pairs (a, b, apart) with sets of sizes that allow the similarity."""
+def neighbours(percent: int, reach: int):
+    """Sorted rows of a partition -> candidate pairs (a, b, apart) of two components, with sets of sizes that allow the similarity."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail: tuple[np.ndarray, ...] | None = None
+        tail = None
         for batch in batches:
-            m = len(batch)
-            if not m:
+            if not len(batch):
                 continue
-            tree = batch.column(0).to_numpy()
-            order = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(m, 4 * DEPTH)[:, : 4 * MIN_DEPTH]
-            now = (tree, np.ascontiguousarray(order).view(f"S{4 * MIN_DEPTH}").ravel(), np.ascontiguousarray(order), batch.column(2).to_numpy(), batch.column(3).to_numpy())
+            order = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(batch), 4 * DEPTH)[:, : 4 * MIN_DEPTH]
+            now = [batch.column(0).to_numpy(), order, *(batch.column(k).to_numpy() for k in (2, 3, 4))]
             old = 0 if tail is None else len(tail[0])
-            tree, _, order, ids, sizes = now if tail is None else [np.concatenate(x) for x in zip(tail, now)]
+            now = now if tail is None else [np.concatenate(x) for x in zip(tail, now)]
+            tree, order, ids, sizes, components = now
             out = []
-            for apart in range(1, FAR_ROWS + 1):
+            for apart in range(1, reach + 1):
                 # Pairs whose second row is new; the first may be in the tail of the last batch.
-                start = max(0, old - apart)
-                i = np.arange(start, len(ids) - apart)
-                i = i[(tree[i] == tree[i + apart]) & (order[i] == order[i + apart]).all(1)] if len(i) else i
+                i = np.arange(max(0, old - apart), max(0, len(ids) - apart))
+                i = i[(tree[i] == tree[i + apart]) & (order[i] == order[i + apart]).all(1)]
                 if not len(i):
                     break
                 j = i + apart
                 big, small = np.maximum(sizes[i], sizes[j]), np.minimum(sizes[i], sizes[j])
-                ok = (100 * small >= percent * big) & (ids[i] != ids[j])
+                ok = (100 * small >= percent * big) & (components[i] != components[j])
                 out.append((np.minimum(ids[i], ids[j])[ok], np.maximum(ids[i], ids[j])[ok], np.full(ok.sum(), apart, np.int32)))
-            tail = tuple(x[-FAR_ROWS:] for x in (tree, now[1], order, ids, sizes)) if tail is None else (
-                tree[-FAR_ROWS:], np.concatenate([tail[1], now[1]])[-FAR_ROWS:], order[-FAR_ROWS:], ids[-FAR_ROWS:], sizes[-FAR_ROWS:])
+            tail = [x[-reach:] for x in now]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["a", "b", "apart"])
 
@@ -166,28 +165,38 @@ def near_dedup(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text:
     named = sets.where("n_shingles > 0 AND id IS NOT NULL")
     key = ["set_a", "set_b"]
     classes = keep(named.groupBy(*key).agg(F.min(F.struct("id", "n_shingles", "signature")).alias("r")).select(*key, "r.*"), "classes")
-    trees = forest(classes.select("id", "n_shingles", "signature"))
-    pairs = trees.mapInArrow(neighbours(percent), "a long, b long, apart int")
-    pairs = keep(pairs.groupBy("a", "b").agg(F.min("apart").alias("apart")), "pairs")
-    asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    # Versions of a document each have their text; equal rows are one.
-    version = F.xxhash64("text")
-    texts = ids.join(asked, "id", "left_semi").groupBy("id", version.alias("v")).agg(F.first("text").alias("text")).select("id", "text")
-    texts = keep(texts, "texts")
-
-    def confirmed(some: DataFrame) -> DataFrame:
-        left, right = (texts.select(F.col("id").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
-        whole = some.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+    members = classes.select("id", "n_shingles", "signature")
+
+    def candidates(some: DataFrame, reach: int) -> DataFrame:
+        pairs = forest(some).mapInArrow(neighbours(percent, reach), "a long, b long, apart int")
+        return keep(pairs.groupBy("a", "b").agg(F.min("apart").alias("apart")), "pairs")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        # Merge joins at every size: what is measured on little data is the plan that runs on much.
+        asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().hint("merge")
+        # Versions of a document each have their text; equal rows are one.
+        texts = ids.join(asked, "id", "left_semi").groupBy("id", F.xxhash64("text").alias("v")).agg(F.first("text").alias("text"))
+        texts = keep(texts.select("id", "text"), "texts")
+        left, right = (texts.select(F.col("id").alias(k), F.col("text").alias(f"text_{k}")).hint("merge") for k in "ab")
+        whole = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
         return keep(whole.mapInArrow(_confirmed(percent), "a long, b long").distinct(), "links")
 
+    pairs = candidates(members.withColumn("component", F.col("id")), NEAR_ROWS + 1)
     links = confirmed(pairs.where(F.col("apart") <= NEAR_ROWS))
     labels = components(links)
-    side = [labels.select(F.col("id").alias(k), F.col("component").alias(f"component_{k}")) for k in "ab"]
-    rest = pairs.where(F.col("apart") > NEAR_ROWS).join(side[0], "a", "left").join(side[1], "b", "left")
-    rest = keep(rest.where("NOT coalesce(component_a, a) <=> coalesce(component_b, b)").select("a", "b"), "rest")
-    more = confirmed(rest)
-    if not more.isEmpty():
-        labels = components(links.union(more))
+    reaching = pairs.where(F.col("apart") > NEAR_ROWS)
+    dense = keep(members.join(reaching.select(F.col("a").alias("id")).union(reaching.select("b")).distinct(), "id", "left_semi"), "dense")
+    tried = pairs.where(F.col("apart") <= NEAR_ROWS).select("a", "b")
+    while not dense.isEmpty():
+        known = dense.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        fresh = keep(candidates(known, FAR_ROWS).select("a", "b").join(tried, ["a", "b"], "left_anti"), "fresh")
+        if fresh.isEmpty():
+            break
+        more = confirmed(fresh)
+        if more.isEmpty():
+            break
+        tried, links = keep(tried.union(fresh), "tried"), keep(links.union(more), "links")
+        labels = components(links)
     found = keep(classes.select(*key, "id").join(labels, "id", "left").select(*key, F.coalesce("component", "id").alias("component")), "found")
     # Versions of one document may lie in several classes; then the document joins them.
     versions = named.groupBy("id", *key).agg(F.count("*").alias("n")).withColumn("many", F.count("*").over(Window.partitionBy("id"))).where("many > 1")
