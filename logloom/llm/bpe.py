@@ -217,31 +217,40 @@ class Encoder:
         return [[*chain.from_iterable(map(get, some))] for some in pieces]
 
 
-def _encoder(path: str):
+def _encoded(path: str, decode: bool):
+    """Texts -> ids, and their decoded text with ``decode``. Few texts leave at a time, so results stay small."""
+
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(path)
+        decoder = Decoder(encoder.vocabulary)
         for texts in batches:
-            parts = []
             for start in range(0, len(texts), TEXTS_AT_ONCE):
-                some = [t or "" for t in texts.slice(start, TEXTS_AT_ONCE).to_pylist()]
-                parts.append(pa.array(encoder.encode(some), pa.list_(pa.int32())))
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+                ids = encoder.encode([t or "" for t in texts.slice(start, TEXTS_AT_ONCE).to_pylist()])
+                ids = pa.array(ids, pa.list_(pa.int32()))
+                yield pa.StructArray.from_arrays([ids, decoder.decode(ids)], ["ids", "decoded"]) if decode else ids
+
+    return F.arrow_udf(encoded, "struct<ids:array<int>,decoded:string>" if decode else "array<int>")
+
+
+class Decoder:
+    """Ids -> their tokens with one space between."""
 
-    return F.arrow_udf(encoded, "array<int>")
+    def __init__(self, vocabulary: Vocabulary):
+        names = vocabulary.tokens
+        self.tokens = pa.array([names.get(i) for i in range(max(names) + 1)], pa.string())
 
+    def decode(self, lists: pa.Array) -> pa.Array:
+        ends = np.cumsum(np.append(0, lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))).astype(np.int32)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), self.tokens.take(lists.flatten())), " ")
+        return pc.if_else(lists.is_valid(), joined, None)
 
-def _decoder(path: str):
+
+def _decoded(path: str):
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        names = Vocabulary(path).tokens
-        tokens = pa.array([names.get(i) for i in range(max(names) + 1)], pa.string())
+        decoder = Decoder(Vocabulary(path))
         for lists in batches:
-            parts = []
             for start in range(0, len(lists), TEXTS_AT_ONCE):
-                some = lists.slice(start, TEXTS_AT_ONCE)
-                ends = np.cumsum(np.append(0, some.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))).astype(np.int32)
-                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), tokens.take(some.flatten())), " ")
-                parts.append(pc.if_else(some.is_valid(), joined, None))
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+                yield decoder.decode(lists.slice(start, TEXTS_AT_ONCE))
 
     return F.arrow_udf(decoded, "string")
 
@@ -251,9 +260,15 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
 
     Rows stay where they are: no shuffle, and one text at a time is encoded. A column named as ``ids`` is replaced.
     """
-    return docs.withColumn(ids, _encoder(path)(F.col(f"`{text}`")))
+    return docs.withColumn(ids, _encoded(path, False)(F.col(f"`{text}`")))
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Documents with ``decoded``: the tokens of ``ids``, special ones too, with one space between. Null ids give null."""
-    return docs.withColumn(decoded, _decoder(path)(F.col(f"`{ids}`")))
+    return docs.withColumn(decoded, _decoded(path)(F.col(f"`{ids}`")))
+
+
+def recode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """Documents with ``ids`` and ``decoded``, as by ``encode`` and ``decode`` but in one pass; columns of these names are replaced."""
+    both = docs.withColumn("__coded", _encoded(path, True)(F.col(f"`{text}`")))
+    return both.withColumn("ids", F.col("__coded.ids")).withColumn("decoded", F.col("__coded.decoded")).drop("__coded")

@@ -88,8 +88,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """Ids and decoded text of encoded documents as digests."""
-    coded = bpe.decode(bpe.encode(docs, path), path)
-    return coded.select(
+    return bpe.recode(docs, path).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
