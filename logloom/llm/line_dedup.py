@@ -9,22 +9,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import GAP, keep, key_of, text_or_empty
+from logloom.llm.common import keep, key_of, text_or_empty
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _line_key(line: Column) -> Column:
-    """128 bits for a line: two 64-bit hashes with different starts."""
-    bare = F.regexp_replace(line, f"^{GAP}|{GAP}$", "")
-    return F.when(bare != "", F.struct(F.xxhash64(bare).alias("a"), F.xxhash64(F.lit(1), bare).alias("b")))
+def _line_keys(text: Column) -> Column:
+    """128 bits for each line, two 64-bit hashes with different starts; null for blank lines."""
+    bare = F.transform(_lines(text), lambda line: F.btrim(line, F.lit(" \t\n\x0b\x0c\r")))
+    return F.transform(bare, lambda x: F.when(x != "", F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"))))
 
 
 def host_lines(docs: DataFrame, host: str, text: str, *keys: str) -> DataFrame:
     """Each page's distinct lines as keys: ``keys``, ``host``, ``line`` (struct a, b)."""
-    distinct = F.array_distinct(F.transform(_lines(text_or_empty(text)), _line_key))
+    distinct = F.array_distinct(_line_keys(text_or_empty(text)))
     return docs.select(*keys, key_of(F.col(f"`{host}`")).alias("host"), F.explode(distinct).alias("line")).where("line is not null")
 
 
@@ -56,7 +56,8 @@ def drop_boilerplate(
     lost = hits.groupBy("__line_row").agg(F.collect_set("line").alias("__line_lost"))
     lines = _lines(t)
     gone = F.col("__line_lost")
-    left = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(gone, _line_key(x)), F.lit(False)))
+    both = F.arrays_zip(lines.alias("line"), _line_keys(t).alias("key"))
+    left = F.transform(F.filter(both, lambda x: ~F.coalesce(F.array_contains(gone, x["key"]), F.lit(False))), lambda x: x["line"])
     return (
         rows.join(lost, "__line_row", "left")
         .withColumn("n_lines", F.when(t.isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"))
