@@ -240,7 +240,7 @@ def parse_ports(items: Iterable[str]) -> list[tuple[int, int]]:
         m = re.fullmatch(r"(\d+)(?:-(\d+))?", text)
         lo, hi = (int(m[1]), int(m[2] or m[1])) if m else (1, 0)
         if lo > hi or hi > 65535:
-            raise ValueError(f"{text!r} is not a port (0-65535) or a range such as 8000-8100")
+            raise ValueError(f"port {text!r} can't be read: give a number up to 65535, or two with a hyphen between")
         out.append((lo, hi))
     return out
 

@@ -159,8 +159,8 @@ def flow_notes(df: DataFrame) -> DataFrame:
             F.col("skipdata").alias("n"),
             F.concat(
                 F.col("skipdata").cast("string"),
-                F.lit(" SKIPDATA rows: flow log capture skipped records in those intervals, "
-                      "so totals undercount the real traffic."),
+                F.lit(" rows are marked SKIPDATA: flows of those intervals were lost before logging, "
+                      "real traffic is above these totals."),
             ).alias("text"),
         )
     )

@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from logloom.functions import derive as d
 from logloom.operators import flows, lb, objects
 
-MAX_EVENT_LINE = 128 << 10
-
 
 def rfc3339_text(ts: Column) -> Column:
     """UTC time with only the fraction digits that are needed."""
@@ -64,8 +62,11 @@ def _cols(*names: str) -> dict[str, Column]:
     return {n: F.col(n) for n in names}
 
 
-def audit_lines(df: DataFrame, run_id: str, job: str = "logloom") -> DataFrame:
-    """Audit events under their own field names; a line over 128 KiB loses its payloads and is marked."""
+def audit_lines(df: DataFrame, run_id: str, job: str = "logloom", max_bytes: int | None = None) -> DataFrame:
+    """Audit events under their own field names.
+
+    With ``max_bytes``, a longer line loses its payloads and is marked; without, every line is whole.
+    """
     u = F.col("user_identity")
     context, issuer = u["session_context"], u["session_context"]["session_issuer"]
     identity = F.struct(
@@ -110,13 +111,14 @@ def audit_lines(df: DataFrame, run_id: str, job: str = "logloom") -> DataFrame:
     head = [F.lit("event").alias("kind"), F.lit(run_id).alias("run_id")] + [c.alias(n) for n, c in fields.items()]
     whole = F.to_json(F.struct(*head, *[c.alias(n) for n, c in payload.items()]))
     short = F.to_json(F.struct(*head, F.lit(True).alias("truncated")))
+    whole_or_short = F.col("whole") if max_bytes is None else F.when(F.octet_length("whole") > max_bytes, F.col("short")).otherwise(F.col("whole"))
     label_map = labels(job=job, subcommand="cloudtrail", kind="event", account=F.col("recipient_account_id"),
                        region=F.col("aws_region"))
     return (
         df.select(label_map.alias("labels"), F.col("event_time").alias("at"), whole.alias("whole"), short.alias("short"))
         .select(
             F.lit("event").alias("kind"), "labels", "at",
-            F.when(F.octet_length("whole") > MAX_EVENT_LINE, F.col("short")).otherwise(F.col("whole")).alias("line"),
+            whole_or_short.alias("line"),
         )
     )
 

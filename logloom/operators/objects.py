@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from logloom.functions import derive as d
 from logloom.operators.counters import Dim, by_hour, count_by, distinct_count
 
-MAX_ACCESS_CHANGES = 1000
 
 
 def status() -> Column:
@@ -88,14 +87,13 @@ def anonymous(df: DataFrame, kind: Column) -> DataFrame:
     return df.where(kind).groupBy("bucket").agg(F.count("*").alias("n"), F.min("ts").alias("first"))
 
 
-def access_changes(df: DataFrame, n: int = MAX_ACCESS_CHANGES) -> DataFrame:
-    """Earliest successful policy, ACL and public-access-block changes."""
-    return (
+def access_changes(df: DataFrame, n: int | None = None) -> DataFrame:
+    """Successful policy, ACL and public-access-block changes: all of them, or the ``n`` earliest."""
+    changes = (
         df.where(success() & d.object_access_change(F.col("operation")))
         .select("ts", "bucket", "operation", "key", principal().alias("principal"), "remote_ip")
-        .orderBy("ts", "bucket", "operation", "key", "principal", "remote_ip")
-        .limit(n)
     )
+    return changes if n is None else changes.orderBy("ts", "bucket", "operation", "key", "principal", "remote_ip").limit(n)
 
 
 def hour_by_class(df: DataFrame) -> DataFrame:

@@ -21,9 +21,6 @@ from logloom.functions.text import binary_size, gibibytes
 from logloom.operators import audit, flows, objects, waf
 from logloom.schema import FINDING_COLUMNS, SEVERITIES, SEVERITY_RANK, parse_severity
 
-AUDIT_CAP = 5000
-AGGREGATE_CAP = 500
-
 # Rule thresholds.
 BLOCK_THRESHOLD = 100
 DENIED_THRESHOLD = 100
@@ -617,17 +614,20 @@ def aggregate_order() -> list[Column]:
     return [F.desc("severity_rank"), F.desc("n"), F.asc("actor"), F.asc("rule"), F.asc("time"), F.asc("detail")]
 
 
-def cap_audit(findings: DataFrame, cap: int = AUDIT_CAP) -> DataFrame:
-    """Most severe findings first, oldest first within a severity."""
-    return findings.orderBy(*audit_order()).limit(cap)
+def cap_audit(findings: DataFrame, cap: int | None = None) -> DataFrame:
+    """Most severe findings first, oldest first within a severity; all of them without a cap."""
+    ordered = findings.orderBy(*audit_order())
+    return ordered if cap is None else ordered.limit(cap)
 
 
-def cap_aggregate(findings: DataFrame, cap: int = AGGREGATE_CAP) -> DataFrame:
-    """First ``cap`` findings in report order, and every CRITICAL one.
+def cap_aggregate(findings: DataFrame, cap: int | None = None) -> DataFrame:
+    """First ``cap`` findings in report order, and every CRITICAL one; all of them without a cap.
 
     CRITICAL sorts first, so the kept set is all CRITICAL findings and the
     others that the plain limit leaves.
     """
+    if cap is None:
+        return findings.orderBy(*aggregate_order())
     critical = F.col("severity") == "CRITICAL"
     rest = findings.orderBy(*aggregate_order()).limit(cap).where(~critical)
     return findings.where(critical).unionByName(rest)

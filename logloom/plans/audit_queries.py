@@ -180,7 +180,7 @@ def queries() -> dict[str, Query]:
             q.counters(A, {"user_agent": ("user_agent", "TRUE"), "identity_type": ("identity_type", "TRUE")}),
         ),
         "snk_01": Query(
-            lambda t: lines.audit_lines(t.audit_events, "run").select(
+            lambda t: lines.audit_lines(t.audit_events, "run", max_bytes=128 << 10).select(
                 "at",
                 F.from_json(
                     "line", "eventID string, eventName string, userIdentity struct<type:string, arn:string>, requestParameters struct<bucketName:string, cidr:string>, truncated boolean"

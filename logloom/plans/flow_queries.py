@@ -344,7 +344,7 @@ def queries() -> dict[str, Query]:
         ),
         "hlt_05": Query(
             lambda t: health.flow_notes(t.flows),
-            "SELECT 'skipdata' AS note, n, n || ' SKIPDATA rows: flow log capture skipped records in those intervals, so totals undercount the real traffic.' AS text "
+            "SELECT 'skipdata' AS note, n, n || ' rows are marked SKIPDATA: flows of those intervals were lost before logging, real traffic is above these totals.' AS text "
             "FROM (SELECT count(*) AS n FROM flows WHERE log_status = 'SKIPDATA') WHERE n > 0",
         ),
         "hlt_06_flows": Query(

@@ -77,7 +77,7 @@ RULES = {
     "s3-access-change": q.finding(
         "s3-access-change", "MEDIUM", "Bucket access configuration changed", WHO,
         "operation || ' on ' || bucket || coalesce('/' || key, '') || ' from ' || remote_ip", "ts", "1",
-        f"FROM (SELECT * FROM object_requests WHERE {OKAY} AND {CHANGES} ORDER BY ts, bucket, operation, key NULLS FIRST, {WHO}, remote_ip LIMIT 1000)",
+        f"FROM (SELECT * FROM object_requests WHERE {OKAY} AND {CHANGES} ORDER BY ts, bucket, operation, key NULLS FIRST, {WHO}, remote_ip)",
     ),
     "s3-large-egress": " UNION ALL ".join(
         _simple("s3-large-egress", "MEDIUM", "Large data egress", dim, f"printf('%.1f GiB', n / 1073741824.0) || ' sent to this {who}'", f"n >= {EGRESS}")
@@ -135,9 +135,9 @@ def queries() -> dict[str, Query]:
             f"SELECT bucket, count(*) AS n, min(ts) AS first FROM object_requests WHERE {ANON_READ} GROUP BY 1",
         ),
         "agg_ob_18": Query(
-            lambda t: objects.access_changes(t.object_requests),
+            lambda t: objects.access_changes(t.object_requests, 20),
             f"SELECT ts, bucket, operation, key, {WHO} AS principal, remote_ip FROM object_requests WHERE {OKAY} AND {CHANGES} "
-            "ORDER BY ts, bucket, operation, key NULLS FIRST, principal, remote_ip LIMIT 1000",
+            "ORDER BY ts, bucket, operation, key NULLS FIRST, principal, remote_ip LIMIT 20",
         ),
         "agg_ob_20": Query(
             lambda t: objects.hour_by_class(t.object_requests),

@@ -120,7 +120,8 @@ def _scope_rows(t):
     days = t.read("orders").where("o_orderdate >= '1995-03-01' AND o_orderdate < '1995-03-08'").select(F.to_date("o_orderdate").alias("day")).distinct()
     s = scope.Scope(["111122223333"], ["us-east-1", "eu-central-1"], date(1995, 3, 1), date(1995, 3, 7), base_prefix="/base/")
     paths = t.spark.createDataFrame([(p,) for p in scope.scan_paths("s3://logs", s, scope.AUDIT)], "path string")
-    return paths.join(days, F.endswith(F.col("path"), F.date_format("day", "yyyy/MM/dd"))).select("path")
+    day = F.to_date(F.regexp_extract("path", r"(\d{4}/\d{2}/\d{2})$", 1), "yyyy/MM/dd")
+    return paths.withColumn("day", day).join(days, "day").select("path")
 
 
 def queries() -> dict[str, Query]:

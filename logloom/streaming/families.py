@@ -148,7 +148,7 @@ def _object_summary(frames: Frames) -> Frames:
 
 def _merge_changes(df: DataFrame) -> DataFrame:
     order = ("ts", "bucket", "operation", "key", "principal", "remote_ip")
-    return df.select(*order).orderBy(*order).limit(objects.MAX_ACCESS_CHANGES)
+    return df.select(*order)
 
 
 OBJECTS = Family(

@@ -47,7 +47,7 @@ class Options:
     once: bool = False
     strict_files: bool = False
     max_files: int | None = None
-    max_attempts: int = 96
+    max_attempts: int | None = None  # an unreadable file is tried as long as it is there, unless a limit is given
     criteria: dict = field(default_factory=dict)
     thresholds: dict = field(default_factory=dict)
     clock: Callable[[], datetime] = utc_now
@@ -163,7 +163,7 @@ def pending_files(spark: SparkSession, o: Options, batch_id: int) -> DataFrame:
 
 
 def _reread(spark: SparkSession, waiting: DataFrame) -> DataFrame | None:
-    """Bytes of the files to try again: a short list, since they leave it after ``max_attempts``."""
+    """Bytes of the files to try again: the unreadable ones, which stay listed until they are read."""
     paths = [r["file"] for r in waiting.select("file").collect()]
     if not paths:
         return None
@@ -176,7 +176,11 @@ def _write_retries(unreadable: DataFrame, waiting: DataFrame, o: Options, batch_
     rows = joined.select(
         "file", "err", (F.coalesce("attempts", F.lit(0)) + 1).alias("attempts"),
         F.coalesce("first_seen", F.lit(now)).alias("first_seen"),
-    ).where(F.col("attempts") < o.max_attempts)
+    )
+    if o.max_attempts is not None:
+        # Given up, but on record.
+        _write(rows.where(F.col("attempts") >= o.max_attempts), o, "given_up", batch_id)
+        rows = rows.where(F.col("attempts") < o.max_attempts)
     _write(rows, o, "retry", batch_id)
     return unreadable.select("file").distinct().count()
 

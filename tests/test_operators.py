@@ -146,8 +146,10 @@ def test_custom_rule_replaces_the_list(spark, t):
 
 
 def test_event_line_over_the_limit_drops_its_payloads(spark, t):
-    big = t.audit_events.limit(2).withColumn("request_parameters", F.concat(F.lit('{"k":"'), F.repeat(F.lit("x"), lines.MAX_EVENT_LINE), F.lit('"}')))
-    got = lines.audit_lines(big, "r").select("line").collect()
+    big = t.audit_events.limit(2).withColumn("request_parameters", F.concat(F.lit('{"k":"'), F.repeat(F.lit("x"), 128 << 10), F.lit('"}')))
+    got = lines.audit_lines(big, "r", max_bytes=128 << 10).select("line").collect()
+    whole = lines.audit_lines(big, "r").select("line").collect()
+    assert all("requestParameters" in r["line"] and len(r["line"]) > 128 << 10 for r in whole)
     assert all('"truncated":true' in r["line"] and "requestParameters" not in r["line"] and len(r["line"]) < 2000 for r in got)
 
 

@@ -160,4 +160,3 @@ def test_merged_rules_equal_rules_over_all_records(spark):
         got = sorted(map(tuple, family.judge(merged, th).collect()), key=repr)
         want = sorted(map(tuple, family.findings({"records": table}, th).collect()), key=repr)
         assert got == want and got
-    assert rules.AGGREGATE_CAP == 500
