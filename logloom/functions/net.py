@@ -137,7 +137,7 @@ def parse_prefixes(items: Iterable[str]) -> list[ipaddress.IPv4Network | ipaddre
         try:
             net = ipaddress.ip_network(text, strict=False)
         except ValueError as e:
-            raise ValueError(f"{text!r} is not an IP address or CIDR") from e
+            raise ValueError(f"address {text!r} can't be read: give one address or a network in slash form") from e
         mapped = net.network_address.ipv4_mapped if net.version == 6 and "/" not in text else None
         out.append(ipaddress.ip_network(mapped) if mapped else net)
     return out

@@ -215,4 +215,4 @@ def parse_kind(text: str) -> str:
     try:
         return kinds[text.strip().lower()]
     except KeyError:
-        raise ValueError(f"unknown load balancer type {text!r}: want alb, nlb, or classic") from None
+        raise ValueError(f"no load balancer kind is named {text!r}; known are alb, nlb and classic") from None
