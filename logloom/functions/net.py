@@ -40,10 +40,10 @@ _PRIVATE_V6_TEXT = r"f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:|::1$"
 SPECIAL_PREFIXES = ("0.0.0.0/32", "224.0.0.0/4", "::/128", "ff00::/8")
 _SPECIAL_V6_TEXT = r"::$|ff[0-9a-f]{2}:"
 
-# Above this many prefixes a filter turns from a pattern into a range join.
+# Above this many prefixes a filter turns from a pattern into a lookup.
 MAX_INLINE_PREFIXES = 50
-# A range table up to this many rows is broadcast; a longer one is shuffled.
-MAX_BROADCAST_RANGES = 100_000
+# A prefix table up to this many rows is broadcast; a longer one is shuffled.
+MAX_BROADCAST_PREFIXES = 100_000
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -208,42 +208,59 @@ def endpoint(addr: Column, port: Column) -> Column:
     ).otherwise(F.concat(addr, F.lit(":"), port.cast("string")))
 
 
-def _range_rows(prefixes: Sequence[str]) -> list[tuple[str, str, str]]:
-    """Disjoint key ranges of the prefixes, cut at first-octet borders."""
+def _digit_prefixes(prefixes: Sequence[str]) -> list[str]:
+    """Leading digits of address keys that the prefixes cover, the version first.
+
+    A prefix that ends inside a hex digit stands as the up to eight digits it covers. Prefixes are disjoint, so no
+    address begins with two of the entries.
+    """
     nets = parse_prefixes(prefixes)
-    rows = []
-    for version, width in ((4, 8), (6, 32)):
+    out = []
+    for version in (4, 6):
         for net in ipaddress.collapse_addresses(n for n in nets if n.version == version):
-            lo, hi = _key_bounds(net)
-            for head in range(int(lo[1:3], 16), int(hi[1:3], 16) + 1):
-                tag = f"{version}{head:02X}"
-                rows.append((tag, max(lo, tag + "0" * (width - 2)), min(hi, tag + "F" * (width - 2))))
-    return rows
+            digits = -(-net.prefixlen // 4)
+            lo = _key_bounds(net)[0][1 : 1 + digits]
+            if not digits:
+                out.append(str(version))
+                continue
+            first = int(lo, 16)
+            out += [f"{version}{first + k:0{digits}X}" for k in range(1 << (4 * digits - net.prefixlen))]
+    return out
 
 
 def where_any_in(df: DataFrame, columns: Sequence[str], prefixes: Sequence[str]) -> DataFrame:
     """Rows where any of the address columns lies in any of the prefixes.
 
-    Short lists are one predicate. Long lists become an equi join on the
-    leading octet with a range condition; the ranges are disjoint, so a row
-    meets at most one of them and is never repeated.
+    Short lists are one predicate. Long lists are looked up by equal keys: an address is cut to each length the list
+    has and meets one entry at most, so no row is compared with many entries and none is repeated. Lists of checked
+    length are broadcast and the rows stay where they are. For longer ones the distinct addresses are looked up, and
+    rows meet the addresses found; a hot address is split by the join's skew handling.
     """
     if len(prefixes) <= MAX_INLINE_PREFIXES:
         hit = F.lit(False)
         for name in columns:
             hit = hit | in_prefixes(F.col(name), prefixes)
         return df.where(hit)
-    rows = _range_rows(prefixes)
-    ranges = df.sparkSession.createDataFrame(rows, "tag string, lo string, hi string")
-    if len(rows) <= MAX_BROADCAST_RANGES:
-        ranges = F.broadcast(ranges)
+    entries = _digit_prefixes(prefixes)
+    listed = df.sparkSession.createDataFrame([(e,) for e in entries], "entry string")
+    cuts = sorted({(e[0], len(e)) for e in entries})
+    if len(entries) <= MAX_BROADCAST_PREFIXES:
+        out, any_hit = df, F.lit(False)
+        for i, name in enumerate(columns):
+            out = out.withColumn(f"_key{i}", addr_key(F.col(name)))
+            for version, digits in cuts:
+                entry = f"_entry{i}_{version}_{digits}"
+                some = listed.where(F.startswith("entry", F.lit(version)) & (F.length("entry") == digits))
+                key = F.substring(f"_key{i}", 1, digits)
+                out = out.join(F.broadcast(some.toDF(entry)), key == F.col(entry), "left")
+                any_hit = any_hit | F.col(entry).isNotNull()
+        return out.where(any_hit).select(*df.columns)
+    addresses = df.select(F.explode(F.array(*columns)).alias("address")).where("address is not null").distinct()
+    lengths = F.array(*[F.when(F.startswith("key", F.lit(v)), F.substring("key", 1, n)) for v, n in cuts])
+    keyed = addresses.withColumn("key", addr_key(F.col("address"))).select("address", F.explode(lengths).alias("entry"))
+    found = keyed.where("entry is not null").join(listed, "entry", "left_semi").select("address").distinct()
     out, any_hit = df, F.lit(False)
     for i, name in enumerate(columns):
-        key, tag, lo, hi = (f"_{n}{i}" for n in ("key", "tag", "lo", "hi"))
-        out = out.withColumn(key, addr_key(F.col(name))).join(
-            ranges.toDF(tag, lo, hi),
-            (F.substring(key, 1, 3) == F.col(tag)) & F.col(key).between(F.col(lo), F.col(hi)),
-            "left",
-        )
-        any_hit = any_hit | F.col(hi).isNotNull()
+        out = out.join(found.toDF(f"_found{i}"), F.col(name) == F.col(f"_found{i}"), "left")
+        any_hit = any_hit | F.col(f"_found{i}").isNotNull()
     return out.where(any_hit).select(*df.columns)

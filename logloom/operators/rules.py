@@ -10,6 +10,7 @@ ever collected are cut to a few entries before they are collected.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -20,6 +21,7 @@ from logloom.functions import derive as d
 from logloom.functions.text import binary_size, gibibytes
 from logloom.operators import audit, flows, objects, waf
 from logloom.schema import FINDING_COLUMNS, SEVERITIES, SEVERITY_RANK, parse_severity
+from logloom.session import shared_dir
 
 # Rule thresholds.
 BLOCK_THRESHOLD = 100
@@ -176,13 +178,14 @@ def _fact(tag: str, actor: Column, extra: Column | None = None, item: Column | N
     )
 
 
-def _fold(df: DataFrame, facts: Sequence[Column], ts: str, many: Column | None = None) -> DataFrame:
+def _fold(df: DataFrame, facts: Sequence[Column], ts: str, many: Column | None = None, window: bool = False) -> DataFrame:
     """Facts of all records, folded by (tag, actor, extra, item) in one scan.
 
     Conditions that do not hold leave a NULL entry, dropped after the unfolding:
-    an array filter would evaluate every condition outside generated code.
+    an array filter would evaluate every condition outside generated code. With
+    ``window``, every record is a fact of the window too.
     """
-    entries = F.array(*facts)
+    entries = F.array(*facts, *([_fact("window", F.lit(""))] if window else []))
     if many is not None:
         entries = F.concat(entries, many)
     return (
@@ -194,6 +197,18 @@ def _fold(df: DataFrame, facts: Sequence[Column], ts: str, many: Column | None =
     )
 
 
+def _stored(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Folded facts as a table in the shared folder, and the window's first time from it.
+
+    Totals, leaders and the first time are then read from this small table; the log is scanned once.
+    """
+    spark = facts.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/facts-{uuid.uuid4().hex}"
+    facts.write.parquet(path)
+    table = spark.read.schema(facts.schema).parquet(path)
+    return table, table.where(F.col("tag") == "window").agg(F.min("first"))
+
+
 def leading_items(facts: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, text: Column) -> DataFrame:
     """``key (n), key (n)`` of the leading items per group; cut to ``n`` before they are collected."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -266,13 +281,13 @@ def _wanted(names: Iterable[str] | None, rule: str) -> bool:
 def waf_findings(df: DataFrame, block_threshold: int = BLOCK_THRESHOLD,
                  rules: Iterable[str] | None = None) -> DataFrame:
     """Findings over web-firewall requests; ``rules`` limits the work to some rule ids."""
+    facts, first = _stored(waf_facts(df, window=True))
     return waf_rules(
-        clients=waf.client_stats(df), facts=waf_facts(df), first=df.agg(F.min("ts")),
-        block_threshold=block_threshold, rules=rules,
+        clients=waf.client_stats(df), facts=facts, first=first, block_threshold=block_threshold, rules=rules,
     )
 
 
-def waf_facts(df: DataFrame) -> DataFrame:
+def waf_facts(df: DataFrame, window: bool = False) -> DataFrame:
     """Rate-limited, COUNT-rule, exploit and oversize facts."""
     counted = F.transform(
         F.coalesce("count_rules", F.array().cast("array<string>")), lambda r: _fact("count", r)
@@ -283,7 +298,7 @@ def waf_facts(df: DataFrame) -> DataFrame:
         F.when(F.col("oversize"), _fact("oversize", F.lit(""))),
         F.when(match.isNotNull(), _fact("exploit", F.coalesce("client_ip", F.lit("")), item=match)),
     ]
-    return _fold(df, facts, "ts", counted)
+    return _fold(df, facts, "ts", counted, window)
 
 
 def waf_rules(clients: DataFrame, facts: DataFrame, first: DataFrame, block_threshold: int = BLOCK_THRESHOLD,
@@ -383,13 +398,14 @@ def object_findings(df: DataFrame, denied_threshold: int = DENIED_THRESHOLD,
                     delete_threshold: int = DELETE_THRESHOLD, egress_bytes: int = OBJECT_EGRESS_BYTES,
                     rules: Iterable[str] | None = None) -> DataFrame:
     """Findings over object-access requests."""
+    facts, first = _stored(object_facts(df, window=True))
     return object_rules(
-        facts=object_facts(df), changes=objects.access_changes(df), first=df.agg(F.min("ts")),
+        facts=facts, changes=objects.access_changes(df), first=first,
         denied_threshold=denied_threshold, delete_threshold=delete_threshold, egress_bytes=egress_bytes, rules=rules,
     )
 
 
-def object_facts(df: DataFrame) -> DataFrame:
+def object_facts(df: DataFrame, window: bool = False) -> DataFrame:
     ip, req, who = F.col("remote_ip"), F.col("requester"), objects.principal()
     sent = F.col("bytes_sent")
 
@@ -414,7 +430,7 @@ def object_facts(df: DataFrame) -> DataFrame:
         F.when(d.yes(F.col("plain_http")), _fact("plain-http", who)),
         F.when(d.object_sigv2(F.col("sig_version")), _fact("sigv2", who)),
     ]
-    return _fold(df, facts, "ts")
+    return _fold(df, facts, "ts", window=window)
 
 
 def object_rules(facts: DataFrame, changes: DataFrame, first: DataFrame, denied_threshold: int = DENIED_THRESHOLD,
@@ -508,13 +524,13 @@ def flow_findings(df: DataFrame, scan_ports: int = SCAN_PORTS, sweep_hosts: int
                   egress_bytes: int = FLOW_EGRESS_BYTES, rules: Iterable[str] | None = None) -> DataFrame:
     """Findings over network flows (status rows are skipped)."""
     only = flows.only_flows(df)
+    facts, first = _stored(flow_facts(only, rules, window=True))
     return flow_rules(
-        facts=flow_facts(only, rules), first=only.agg(F.min("start")), scan_ports=scan_ports,
-        sweep_hosts=sweep_hosts, egress_bytes=egress_bytes, rules=rules,
+        facts=facts, first=first, scan_ports=scan_ports, sweep_hosts=sweep_hosts, egress_bytes=egress_bytes, rules=rules,
     )
 
 
-def flow_facts(df: DataFrame, rules: Iterable[str] | None = None) -> DataFrame:
+def flow_facts(df: DataFrame, rules: Iterable[str] | None = None, window: bool = False) -> DataFrame:
     """Scan, exposure, sweep, egress and legacy facts. Each flow is classified once, before the rules look at it."""
     names = None if rules is None else set(rules)
     classified = flows.classified(df)
@@ -536,7 +552,7 @@ def flow_facts(df: DataFrame, rules: Iterable[str] | None = None) -> DataFrame:
         ],
     }
     facts = [f for rule, fs in by_rule.items() if _wanted(names, rule) for f in fs]
-    return _fold(classified, facts, "start")
+    return _fold(classified, facts, "start", window=window)
 
 
 def flow_rules(facts: DataFrame, first: DataFrame, scan_ports: int = SCAN_PORTS, sweep_hosts: int = SWEEP_HOSTS,

@@ -63,15 +63,20 @@ def rebucket(df: DataFrame) -> DataFrame:
     )
 
 
-def _long(buckets: DataFrame, chart: str, entries: list[tuple[str, str, str, Column]]) -> DataFrame:
+Entry = tuple[str, str, str, str, Column]
+
+
+def _long(buckets: DataFrame, entries: list[Entry]) -> DataFrame:
+    """One row per bucket and (chart, series, kind, tone, value)."""
     rows = F.array(
         *[
-            F.struct(F.lit(name).alias("series"), F.lit(kind).alias("kind"), F.lit(tone).alias("tone"),
-                     v.cast("double").alias("value"))
-            for name, kind, tone, v in entries
+            F.struct(F.lit(chart).alias("chart"), F.lit(name).alias("series"), F.lit(kind).alias("kind"),
+                     F.lit(tone).alias("tone"), v.cast("double").alias("value"))
+            for chart, name, kind, tone, v in entries
         ]
     )
-    return buckets.select(F.lit(chart).alias("chart"), "bucket", F.inline(rows))
+    points = buckets.select("bucket", F.inline(rows)).select("chart", "bucket", "series", "kind", "tone", "value")
+    return _without_zero_series(points) if any(kind == "class" for _, _, kind, _, _ in entries) else points
 
 
 def _without_zero_series(points: DataFrame) -> DataFrame:
@@ -84,49 +89,54 @@ def _without_zero_series(points: DataFrame) -> DataFrame:
     )
 
 
-def requests_chart(buckets: DataFrame) -> DataFrame:
-    return _long(buckets, "requests", [
-        ("Requests", "bar", "accent", F.col("requests")),
-        ("Target response time (avg)", "line", "warn", F.col("target_time_avg")),
-    ])
+def _requests() -> list[Entry]:
+    return [
+        ("requests", "Requests", "bar", "accent", F.col("requests")),
+        ("requests", "Target response time (avg)", "line", "warn", F.col("target_time_avg")),
+    ]
 
 
-def _classes(prefix: str, rest: str) -> list[tuple[str, str, str, Column]]:
+def _classes(chart: str, prefix: str, rest: str) -> list[Entry]:
     none = F.col(f"{prefix}_none") + F.col(f"{prefix}_1xx")
-    return [(rest, "class", "muted", none)] + [
-        (name, "class", tone, F.col(f"{prefix}_{name}")) for name, tone in CLASS_NAMES.items()
+    return [(chart, rest, "class", "muted", none)] + [
+        (chart, name, "class", tone, F.col(f"{prefix}_{name}")) for name, tone in CLASS_NAMES.items()
+    ]
+
+
+def _target_status() -> list[Entry]:
+    errors = ("target_status", "Target connection errors", "line", "crit", F.col("conn_errors"))
+    return [*_classes("target_status", "target", "No target response"), errors]
+
+
+def _latency() -> list[Entry]:
+    return [
+        ("latency", "Latency (avg)", "line", "accent", F.col("latency_avg")),
+        ("latency", "Latency (max)", "line", "crit", F.col("latency_max")),
+        ("latency", "Target response time (avg)", "line", "warn", F.col("target_time_avg")),
+        ("latency", "Guide warn", "guide", "warn", F.lit(LATENCY_WARN)),
+        ("latency", "Guide crit", "guide", "crit", F.lit(LATENCY_CRIT)),
     ]
 
 
+def requests_chart(buckets: DataFrame) -> DataFrame:
+    return _long(buckets, _requests())
+
+
 def elb_status_chart(buckets: DataFrame) -> DataFrame:
-    return _without_zero_series(_long(buckets, "elb_status", _classes("elb", "Other")))
+    return _long(buckets, _classes("elb_status", "elb", "Other"))
 
 
 def target_status_chart(buckets: DataFrame) -> DataFrame:
-    entries = _classes("target", "No target response")
-    entries.append(("Target connection errors", "line", "crit", F.col("conn_errors")))
-    return _without_zero_series(_long(buckets, "target_status", entries))
+    return _long(buckets, _target_status())
 
 
 def latency_chart(buckets: DataFrame) -> DataFrame:
-    return _long(buckets, "latency", [
-        ("Latency (avg)", "line", "accent", F.col("latency_avg")),
-        ("Latency (max)", "line", "crit", F.col("latency_max")),
-        ("Target response time (avg)", "line", "warn", F.col("target_time_avg")),
-        ("Guide warn", "guide", "warn", F.lit(LATENCY_WARN)),
-        ("Guide crit", "guide", "crit", F.lit(LATENCY_CRIT)),
-    ])
+    return _long(buckets, _latency())
 
 
 def charts(df: DataFrame) -> DataFrame:
-    """Points of all four charts."""
-    b = rebucket(df)
-    return (
-        requests_chart(b)
-        .unionByName(elb_status_chart(b))
-        .unionByName(target_status_chart(b))
-        .unionByName(latency_chart(b))
-    )
+    """Points of all four charts, unfolded from one set of buckets."""
+    return _long(rebucket(df), [*_requests(), *_classes("elb_status", "elb", "Other"), *_target_status(), *_latency()])
 
 
 def legend(points: DataFrame) -> DataFrame:

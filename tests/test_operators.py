@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ipaddress
 from datetime import datetime
 
 import pytest
@@ -60,6 +61,22 @@ def test_prefixes_match_their_family_only_and_long_lists_agree(spark):
         net.parse_prefixes(["10.0.0.0/33"])
 
 
+@pytest.mark.parametrize("broadcast_up_to", [100_000, 10])
+def test_long_prefix_lists_inside_one_network_keep_each_row_once(spark, monkeypatch, broadcast_up_to):
+    monkeypatch.setattr(net, "MAX_BROADCAST_PREFIXES", broadcast_up_to)
+    listed = [f"10.{i // 128}.{2 * (i % 128)}.0/{25 - i % 3}" for i in range(3000)] + ["2001:db8::/33", "::ffff:9.9.9.9"]
+    rows = [(f"10.{i % 40}.{i % 250}.{i}", f"10.{i % 30}.{i % 7}.{200 - i % 99}") for i in range(250)] * 2
+    rows += [("2001:db8:1::1", None), ("2001:db8:ffff::1", "1.1.1.1"), (None, "9.9.9.9"), (None, None), ("eni-1", "eni-2")]
+    nets = [ipaddress.ip_network(x, strict=False) for x in listed if "ffff" not in x] + [ipaddress.ip_network("9.9.9.9")]
+
+    def inside(text):
+        return text is not None and text[:1] != "e" and any(ipaddress.ip_address(text) in n for n in nets)
+
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = sorted(map(str, net.where_any_in(df, ["a", "b"], listed).collect()))
+    assert got == sorted(str(r) for r in df.collect() if inside(r["a"]) or inside(r["b"]))
+
+
 def test_parameters_are_checked():
     assert filters.parse_ports(["22", "8000-8100"]) == [(22, 22), (8000, 8100)] and filters.parse_protocols(["TCP", "47"]) == [6, 47]
     assert filters.parse_size("1.5GiB") == 3 << 29 and parse_severity(" high ") == "HIGH"
