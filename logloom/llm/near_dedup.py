@@ -171,28 +171,33 @@ def near_dedup(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text:
         pairs = forest(some).mapInArrow(neighbours(percent, reach), "a long, b long, apart int")
         return keep(pairs.groupBy("a", "b").agg(F.min("apart").alias("apart")), "pairs")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
+    def texts_of(rows: DataFrame, asked: DataFrame) -> DataFrame:
         # Merge joins at every size: what is measured on little data is the plan that runs on much.
-        asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().hint("merge")
-        # Versions of a document each have their text; equal rows are one.
-        texts = ids.join(asked, "id", "left_semi").groupBy("id", F.xxhash64("text").alias("v")).agg(F.first("text").alias("text"))
-        texts = keep(texts.select("id", "text"), "texts")
+        return rows.join(asked.distinct().hint("merge"), "id", "left_semi")
+
+    def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         left, right = (texts.select(F.col("id").alias(k), F.col("text").alias(f"text_{k}")).hint("merge") for k in "ab")
         whole = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
         return keep(whole.mapInArrow(_confirmed(percent), "a long, b long").distinct(), "links")
 
     pairs = candidates(members.withColumn("component", F.col("id")), NEAR_ROWS + 1)
-    links = confirmed(pairs.where(F.col("apart") <= NEAR_ROWS))
+    # The whole corpus is shuffled by id once. Later searches ask for documents of these pairs only.
+    # Versions of a document each have their text; equal rows are one.
+    texts = texts_of(ids, pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
+    texts = texts.groupBy("id", F.xxhash64("text").alias("v")).agg(F.first("text").alias("text")).select("id", "text")
+    texts = keep(texts, "texts")
+    links = confirmed(pairs.where(F.col("apart") <= NEAR_ROWS), texts)
     labels = components(links)
     reaching = pairs.where(F.col("apart") > NEAR_ROWS)
     dense = keep(members.join(reaching.select(F.col("a").alias("id")).union(reaching.select("b")).distinct(), "id", "left_semi"), "dense")
+    dense_texts = keep(texts_of(texts, dense.select("id")), "texts")
     tried = pairs.where(F.col("apart") <= NEAR_ROWS).select("a", "b")
     while not dense.isEmpty():
         known = dense.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         fresh = keep(candidates(known, FAR_ROWS).select("a", "b").join(tried, ["a", "b"], "left_anti"), "fresh")
         if fresh.isEmpty():
             break
-        more = confirmed(fresh)
+        more = confirmed(fresh, dense_texts)
         if more.isEmpty():
             break
         tried, links = keep(tried.union(fresh), "tried"), keep(links.union(more), "links")
