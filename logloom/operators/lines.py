@@ -223,11 +223,14 @@ def by_event_time(lines: DataFrame) -> DataFrame:
 
 
 def write_jsonl(lines: DataFrame, path: str, findings: DataFrame | None = None) -> None:
-    """JSON Lines folders per kind: every match, uncapped, and the findings in their own ``kind=finding`` folder."""
+    """JSON Lines folders per kind: every match, uncapped, and the findings in their own ``kind=finding`` folder.
+
+    ``path`` belongs to one run or batch: a repetition replaces what it wrote before, so no line is there twice.
+    """
     out = lines.select("kind", "line")
     if findings is not None:
         out = out.unionByName(findings.select("kind", "line"))
-    out.write.mode("append").partitionBy("kind").text(path)
+    out.write.mode("overwrite").partitionBy("kind").text(path)
 
 
 def fan_out(lines: DataFrame, *writers) -> None:

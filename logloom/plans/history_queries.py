@@ -188,7 +188,10 @@ def _queries() -> dict[str, Query]:
             f"SELECT '{success}' AS name, 'subcommand=' || subcommand AS series, CAST(max(success) AS DOUBLE) AS value, max(at) AS at FROM ({RUN}) WHERE success IS NOT NULL GROUP BY 2 HAVING 1706745600 - max(success) > 26 * 3600",
         ),
         "met_05_absent": Query(
-            lambda t: h.absent(tick_metrics(t), "no_such_metric"), f"SELECT true AS absent FROM ({TICKS}) LIMIT 1"
+            lambda t: h.absent(tick_metrics(t), "no_such_metric").withColumn("name", F.lit("no_such_metric")).union(
+                h.absent(tick_metrics(t), success).withColumn("name", F.lit(success))
+            ),
+            f"SELECT 'no_such_metric' AS name, true AS absent UNION ALL SELECT '{success}', true WHERE NOT EXISTS (SELECT 1 FROM ({RUN}) WHERE success IS NOT NULL)",
         ),
         "met_06_sum_by": Query(
             lambda t: h.by_labels(h.rate(lb_history(t), W), "rate", ["status_class"]),

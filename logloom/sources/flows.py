@@ -185,8 +185,8 @@ def is_text_flow(path: Column) -> Column:
     return s.is_flow_file(path) & F.endswith(path, F.lit(".log.gz"))
 
 
-def normalize_columns(df: DataFrame) -> DataFrame:
-    """Columnar flow logs and Hive-style partition columns under the canonical names and types."""
+def normalize_columns(df: DataFrame, *carried: Column) -> DataFrame:
+    """Columnar flow logs and Hive-style partition columns under the canonical names and types, and ``carried`` columns."""
     have = {c.lower().replace("_", "-"): c for c in df.columns}
     partition_names = {"account_id": "aws-account-id", "region": "aws-region"}
     out = []
@@ -195,15 +195,14 @@ def normalize_columns(df: DataFrame) -> DataFrame:
         value = F.lit(None).cast("string") if source is None else F.col(f"`{source}`").cast("string")
         value = _typed(name, F.nullif(value, F.lit("-")))
         out.append((F.coalesce(value, F.lit(0)) if name in _LONGS else value).alias(name))
-    return df.select(*out)
+    return df.select(*out, *carried)
 
 
 def read_flow_tables(spark: SparkSession, paths, base_path: str | None = None) -> Parsed:
     """Columnar flow logs, with or without Hive-style folders."""
     reader = spark.read if base_path is None else spark.read.option("basePath", base_path)
     wanted = [paths] if isinstance(paths, str) else list(paths)
-    df = reader.parquet(*wanted)
-    good = normalize_columns(df).withColumn("file", F.input_file_name())
+    good = normalize_columns(reader.parquet(*wanted), F.col("_metadata.file_path").alias("file"))
     return Parsed(
         good, no_rows(spark, "file string, pos bigint, err string"), no_rows(spark, "file string, err string")
     )
