@@ -1,14 +1,12 @@
 """MinHash near-dedup with an LSH forest.
 
 A document's set is its distinct word shingles. Signatures are min-hashes; each tree of the forest is one order of them,
-sorted over the whole corpus. Documents that share at least ``MIN_DEPTH`` leading values of a tree's order are a region.
-In a small region all are candidates of each other; in a dense one a document's candidates are the rows next to it,
-which share the longest prefixes: the depth adapts to the region. Sorting is by range, which also splits a region that
-holds a third of the corpus.
-
-Candidates are confirmed on full sets, nearest rows first. In regions that reach further, the forest is searched again
-with the components found so far: rows of a document's own component are passed over, so that it meets others within
-``FAR_ROWS`` rows. This goes on until a search adds no link.
+sorted over the whole corpus. Documents that share the first ``MIN_DEPTH`` values of a tree's order are a region, and all
+pairs of a region are compared. Sorting is by range, which also splits a region that holds a third of the corpus.
+
+Rows within ``NEAR_ROWS`` of each other are compared first, on full sets. What they leave open are rows further apart in
+one region, or on two sides of a partition's border. Those are marked; where a region's marked rows are of more than one
+component, they are dealt to blocks and every pair of two components is compared on full sets, block against block.
 """
 
 from __future__ import annotations
@@ -18,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.llm.common import keep
@@ -27,9 +25,10 @@ from logloom.llm.graph import components
 WORDS = 5
 TREES, MIN_DEPTH, DEPTH = 16, 5, 10
 HASHES = TREES * MIN_DEPTH
-#: Rows next to each other that are compared at once, and those that are compared if they are in two components still.
-#: A pair one row beyond the near ones isn't compared, it marks a dense region.
-NEAR_ROWS, FAR_ROWS = 8, 32
+#: Rows next to each other that are compared at once; rows of one region further apart are compared in blocks.
+NEAR_ROWS = 8
+#: Rows and shingles of a block, on average. Blocks bound memory, not what is compared.
+BLOCK_ROWS, BLOCK_SHINGLES = 1000, 1_000_000
 _BLOCK = 1 << 16
 
 
@@ -69,33 +68,42 @@ def signature(sets: np.ndarray, hashes: int = HASHES) -> bytes:
     return _mixed(low).__rshift__(np.uint64(32)).astype(">u4").tobytes()
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n, a, b, sigs = [], [], [], []
-        for text in batch.column(1).to_pylist():
-            sets = shingles(text)
-            n.append(len(sets))
-            a.append(int(_mixed(sets).sum(dtype=np.uint64).astype(np.int64)))
-            b.append(int(_mixed(sets ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).astype(np.int64)))
-            sigs.append(signature(sets) if len(sets) else b"")
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sigs, pa.binary())],
-            ["id", "n_shingles", "set_a", "set_b", "signature"],
-        )
-
-
-def _tree_places(tree: int) -> list[int]:
+def _signed(hashes: int):
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, a, b, sigs = [], [], [], []
+            for text in batch.column(1).to_pylist():
+                sets = shingles(text)
+                n.append(len(sets))
+                a.append(int(_mixed(sets).sum(dtype=np.uint64).astype(np.int64)))
+                b.append(int(_mixed(sets ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).astype(np.int64)))
+                sigs.append(signature(sets, hashes) if len(sets) else b"")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sigs, pa.binary())],
+                ["id", "n_shingles", "set_a", "set_b", "signature"],
+            )
+
+    return signed
+
+
+def _tree_places(tree: int, trees: int = TREES) -> list[int]:
     """The hash functions of a tree in its order: its own first, then others'."""
+    hashes = trees * MIN_DEPTH
     own = [tree * MIN_DEPTH + k for k in range(MIN_DEPTH)]
-    return own + [(HASHES // 2 + tree * MIN_DEPTH + k * 7) % HASHES for k in range(DEPTH - MIN_DEPTH)]
+    return own + [(hashes // 2 + tree * MIN_DEPTH + k * 7) % hashes for k in range(DEPTH - MIN_DEPTH)]
+
+
+def _region(tree: int) -> Column:
+    """A number for the tree and its first values: equal for rows of one region."""
+    return F.xxhash64(F.lit(tree), F.substring("signature", 4 * tree * MIN_DEPTH + 1, 4 * MIN_DEPTH))
 
 
-def forest(classes: DataFrame) -> DataFrame:
-    """(id, n_shingles, signature, component) -> rows (tree, order, id, n_shingles, component), sorted in partitions by range."""
+def forest(classes: DataFrame, trees: int = TREES) -> DataFrame:
+    """(id, n_shingles, signature) -> rows (tree, order, region, id, n_shingles), sorted in partitions by range."""
     rows = []
-    for tree in range(TREES):
-        order = F.concat(*[F.substring("signature", 4 * k + 1, 4) for k in _tree_places(tree)])
-        rows.append(F.struct(F.lit(tree).alias("tree"), order.alias("order"), "id", "n_shingles", "component"))
+    for tree in range(trees):
+        order = F.concat(*[F.substring("signature", 4 * k + 1, 4) for k in _tree_places(tree, trees)])
+        rows.append(F.struct(F.lit(tree).alias("tree"), order.alias("order"), _region(tree).alias("region"), "id", "n_shingles"))
     partitions = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         classes.select(F.inline(F.array(*rows)))
@@ -103,37 +111,166 @@ def forest(classes: DataFrame) -> DataFrame:
     )
 
 
-def neighbours(percent: int, reach: int):
-    """Sorted rows of a partition -> candidate pairs (a, b, apart) of two components, with sets of sizes that allow the similarity."""
+def neighbours(percent: int, near: int):
+    """Sorted rows (region, id, n_shingles) of a partition -> candidate pairs (a, b) within ``near`` rows, of sizes that allow the similarity.
+
+    Rows (a, null, region) are marks: of each row that has rows beyond ``near`` in its region, and of the rows of the
+    partition's first and last region, which may go on in another partition.
+    """
+    reach = near + 1
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = None
+        def rows(a, b, region):
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, region)], ["a", "b", "region"])
+
+        def marks(region, ids):
+            return rows(ids, [None] * len(ids), region)
+
+        tail, first = None, None
         for batch in batches:
             if not len(batch):
                 continue
-            order = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(batch), 4 * DEPTH)[:, : 4 * MIN_DEPTH]
-            now = [batch.column(0).to_numpy(), order, *(batch.column(k).to_numpy() for k in (2, 3, 4))]
+            now = [batch.column(k).to_numpy() for k in range(3)]
             old = 0 if tail is None else len(tail[0])
             now = now if tail is None else [np.concatenate(x) for x in zip(tail, now)]
-            tree, order, ids, sizes, components = now
-            out = []
+            region, ids, sizes = now
+            # A region's rows beyond the first or last 2 * reach of a partition are marked as wide.
+            first = now if first is None else first
+            if len(first[0]) < 2 * reach and first is not now:
+                first = [np.concatenate([x, y[old:]]) for x, y in zip(first, now)]
+            first = [x[: 2 * reach] for x in first]
+            pairs, wide = [], np.zeros(len(ids), bool)
             for apart in range(1, reach + 1):
                 # Pairs whose second row is new; the first may be in the tail of the last batch.
                 i = np.arange(max(0, old - apart), max(0, len(ids) - apart))
-                i = i[(tree[i] == tree[i + apart]) & (order[i] == order[i + apart]).all(1)]
+                i = i[region[i] == region[i + apart]]
                 if not len(i):
                     break
                 j = i + apart
+                if apart == reach:
+                    wide[i] = wide[j] = True
+                    break
                 big, small = np.maximum(sizes[i], sizes[j]), np.minimum(sizes[i], sizes[j])
-                ok = (100 * small >= percent * big) & (components[i] != components[j])
-                out.append((np.minimum(ids[i], ids[j])[ok], np.maximum(ids[i], ids[j])[ok], np.full(ok.sum(), apart, np.int32)))
-            tail = [x[-reach:] for x in now]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["a", "b", "apart"])
+                ok = (100 * small >= percent * big) & (ids[i] != ids[j])
+                pairs.append((np.minimum(ids[i], ids[j])[ok], np.maximum(ids[i], ids[j])[ok]))
+            tail = [x[-2 * reach :] for x in now]
+            if pairs:
+                a, b = (np.concatenate(x) for x in zip(*pairs))
+                yield rows(a, b, [None] * len(a))
+            if wide.any():
+                yield marks(region[wide], ids[wide])
+        if tail is not None:
+            for (region, ids, _), at in ((first, 0), (tail, -1)):
+                edge = region == region[at]
+                yield marks(region[edge], ids[edge])
 
     return found
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingles(t).tobytes() for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "shingles"])
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], step: int = 4096) -> np.ndarray:
+    """How many values each set of ``left`` shares with each of ``right``."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    flat = [np.concatenate(x) for x in (left, right)]
+    row = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right)]
+    both = np.intersect1d(*flat)
+    if not len(both):
+        return out
+    at = [np.searchsorted(both, x).clip(max=len(both) - 1) for x in flat]
+    met = [both[p] == x for p, x in zip(at, flat)]
+    order = [np.argsort(p[m], kind="stable") for p, m in zip(at, met)]
+    at, row = ([x[m][o] for x, m, o in zip(xs, met, order)] for xs in (at, row))
+    for start in range(0, len(both), step):
+        grid = []
+        for p, r, n in zip(at, row, out.shape):
+            part = slice(*np.searchsorted(p, [start, start + step]))
+            one = np.zeros((n, min(step, len(both) - start)), np.float32)
+            one[r[part], p[part] - start] = 1
+            grid.append(one)
+        out += (grid[0] @ grid[1].T).astype(np.int64)
+    return out
+
+
+def _block_links(percent: int):
+    def links(table: pa.Table) -> pa.Table:
+        """Of a block against another or itself, links enough to join what is linked."""
+        ids, component, n, side = (table[c].to_numpy() for c in ("id", "component", "n_shingles", "side"))
+        regions = np.array(table["regions"].to_pylist(), np.int64)
+        whole = table["same"][0].as_py()
+        left = np.flatnonzero(side == 0)
+        right = left if whole else np.flatnonzero(side == 1)
+        ok = component[left][:, None] != component[right][None]
+        ok &= 100 * np.minimum(n[left][:, None], n[right][None]) >= percent * np.maximum(n[left][:, None], n[right][None])
+        if whole:
+            ok &= np.arange(len(left))[:, None] < np.arange(len(left))[None]
+        # Rows that share a region of an earlier tree are compared there.
+        tree = int((regions == table["region"][0].as_py()).any(0).argmax())
+        for t in range(tree):
+            ok &= regions[left, t][:, None] != regions[right, t][None]
+        some, other = ok.any(1), ok.any(0)
+        left, right, ok = left[some], right[other], ok[some][:, other]
+        a, b = [], []
+        if ok.size:
+            sets = table["shingles"].to_pylist()
+            sets = {k: np.frombuffer(sets[k], np.uint64) for k in {*left.tolist(), *right.tolist()}}
+            sizes = [np.array([len(sets[k]) for k in x]) for x in (left, right)]
+            both = overlaps([sets[k] for k in left], [sets[k] for k in right])
+            ok &= 100 * both >= percent * (sizes[0][:, None] + sizes[1][None] - both)
+            root: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while (y := root.get(x, x)) != x:
+                    root[x] = root.get(y, y)
+                    x = y
+                return x
+
+            for i, j in zip(*(x.tolist() for x in np.nonzero(ok))):
+                x, y = find(int(component[left[i]])), find(int(component[right[j]]))
+                if x != y:
+                    root[x] = y
+                    a.append(int(ids[left[i]])), b.append(int(ids[right[j]]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return links
+
+
+def wide_links(marks: DataFrame, dense: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components of one region: marks (id, region), dense (id, n_shingles, regions, component), sets (id, shingles).
+
+    A region's largest component isn't compared with itself; its rows meet the others' blocks only.
+    """
+    rows = keep(marks.join(dense.select("id", "n_shingles", "component").hint("merge"), "id"), "wide")
+    count = rows.groupBy("region", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    top = count.groupBy("region").agg(F.max(F.struct("n", "s", "component")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s"))
+
+    def blocks(n: Column, s: Column) -> Column:
+        return F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+
+    open_ = keep(top.where("n > top.n").select(
+        "region", F.col("top.component").alias("most"), blocks(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s")).alias("few"),
+        blocks(F.col("top.n"), F.col("top.s")).alias("many")), "open")
+    own = F.pmod(F.xxhash64("id", "region"), F.when(F.col("component") == F.col("most"), F.col("many")).otherwise(F.col("few"))).cast("int")
+    asked = rows.join(open_, "region").withColumn("own", own)
+
+    def task(i: Column, j: Column, kind: int, side: Column) -> Column:
+        same = (i == j) if kind == 0 else F.lit(False)
+        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"), same.alias("same"))
+
+    own, few, many = F.col("own"), F.sequence(F.lit(0), F.col("few") - 1), F.sequence(F.lit(0), F.col("many") - 1)
+    among = F.transform(few, lambda k: task(F.least(own, k), F.greatest(own, k), 0, (own > k).cast("int")))
+    against = F.transform(many, lambda k: task(own, k, 1, F.lit(0)))
+    most = F.transform(few, lambda k: task(k, own, 1, F.lit(1)))
+    tasks = F.when(F.col("component") == F.col("most"), most).otherwise(F.concat(among, against))
+    dealt = asked.select("region", "id", F.explode(tasks).alias("t")).select("region", "id", "t.*")
+    rest = dense.join(sets.hint("merge"), "id")
+    return dealt.join(rest.hint("merge"), "id").groupBy("region", "kind", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
+
+
 def _confirmed(percent: int):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
@@ -152,7 +289,7 @@ def _confirmed(percent: int):
     return confirm
 
 
-def near_dedup(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text: str = "text", trees: int = TREES) -> DataFrame:
     """One row per document: id, ``n_shingles``, ``component_id`` (the smallest id it is linked with, directly or not), ``kept``.
 
     Two documents are linked if 100 * intersection >= ``percent`` * union of their shingle sets. Documents of equal sets
@@ -161,16 +298,12 @@ def near_dedup(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text:
     id are one document in several versions: all get one component. An empty table gives an empty table.
     """
     ids = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    sets = keep(ids.mapInArrow(_signed, "id long, n_shingles long, set_a long, set_b long, signature binary"), "sets")
+    sets = keep(ids.mapInArrow(_signed(trees * MIN_DEPTH), "id long, n_shingles long, set_a long, set_b long, signature binary"), "sets")
     named = sets.where("n_shingles > 0 AND id IS NOT NULL")
     key = ["set_a", "set_b"]
     classes = keep(named.groupBy(*key).agg(F.min(F.struct("id", "n_shingles", "signature")).alias("r")).select(*key, "r.*"), "classes")
     members = classes.select("id", "n_shingles", "signature")
 
-    def candidates(some: DataFrame, reach: int) -> DataFrame:
-        pairs = forest(some).mapInArrow(neighbours(percent, reach), "a long, b long, apart int")
-        return keep(pairs.groupBy("a", "b").agg(F.min("apart").alias("apart")), "pairs")
-
     def texts_of(rows: DataFrame, asked: DataFrame) -> DataFrame:
         # Merge joins at every size: what is measured on little data is the plan that runs on much.
         return rows.join(asked.distinct().hint("merge"), "id", "left_semi")
@@ -180,28 +313,26 @@ def near_dedup(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text:
         whole = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
         return keep(whole.mapInArrow(_confirmed(percent), "a long, b long").distinct(), "links")
 
-    pairs = candidates(members.withColumn("component", F.col("id")), NEAR_ROWS + 1)
-    # The whole corpus is shuffled by id once. Later searches ask for documents of these pairs only.
+    rows = forest(members, trees).select("region", "id", "n_shingles")
+    met = keep(rows.mapInArrow(neighbours(percent, NEAR_ROWS), "a long, b long, region long").distinct(), "pairs")
+    pairs, marks = met.where("b IS NOT NULL").select("a", "b"), met.where("b IS NULL").select(F.col("a").alias("id"), "region")
+    # A region with one marked row has no pair left.
+    several = marks.groupBy("region").agg(F.count("*").alias("n")).where("n > 1").select("region")
+    marks = keep(marks.join(several, "region", "left_semi"), "marks")
+    # The whole corpus is shuffled by id once, and only documents of pairs and marks are asked for.
     # Versions of a document each have their text; equal rows are one.
-    texts = texts_of(ids, pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
+    texts = texts_of(ids, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(marks.select("id")))
     texts = texts.groupBy("id", F.xxhash64("text").alias("v")).agg(F.first("text").alias("text")).select("id", "text")
     texts = keep(texts, "texts")
-    links = confirmed(pairs.where(F.col("apart") <= NEAR_ROWS), texts)
+    links = confirmed(pairs, texts)
     labels = components(links)
-    reaching = pairs.where(F.col("apart") > NEAR_ROWS)
-    dense = keep(members.join(reaching.select(F.col("a").alias("id")).union(reaching.select("b")).distinct(), "id", "left_semi"), "dense")
-    dense_texts = keep(texts_of(texts, dense.select("id")), "texts")
-    tried = pairs.where(F.col("apart") <= NEAR_ROWS).select("a", "b")
-    while not dense.isEmpty():
-        known = dense.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        fresh = keep(candidates(known, FAR_ROWS).select("a", "b").join(tried, ["a", "b"], "left_anti"), "fresh")
-        if fresh.isEmpty():
-            break
-        more = confirmed(fresh, dense_texts)
-        if more.isEmpty():
-            break
-        tried, links = keep(tried.union(fresh), "tried"), keep(links.union(more), "links")
-        labels = components(links)
+    if not marks.isEmpty():
+        dense = members.join(marks.select("id").distinct(), "id", "left_semi").join(labels, "id", "left").select(
+            "id", "n_shingles", F.coalesce("component", "id").alias("component"), F.array(*[_region(t) for t in range(trees)]).alias("regions"))
+        shingled = keep(texts_of(texts, marks.select("id")).mapInArrow(_sets, "id long, shingles binary"), "shingles")
+        more = keep(wide_links(marks, keep(dense, "dense"), shingled, percent).distinct(), "links")
+        if not more.isEmpty():
+            labels = components(links.union(more))
     found = keep(classes.select(*key, "id").join(labels, "id", "left").select(*key, F.coalesce("component", "id").alias("component")), "found")
     # Versions of one document may lie in several classes; then the document joins them.
     versions = named.groupBy("id", *key).agg(F.count("*").alias("n")).withColumn("many", F.count("*").over(Window.partitionBy("id"))).where("many > 1")

@@ -148,6 +148,47 @@ def test_near_dedup_is_brute_force_in_a_dense_region(spark):
     assert [got[k] for k in range(len(sets))] == label
 
 
+def template_region(n: int, seed: int) -> list[list[str]]:
+    """Texts just below 85 % of each other; every tenth shares one change with the text before, which makes it 86 %."""
+    rng = random.Random(seed)
+    base, texts, last = words(rng, 800).split(), [], {}
+    for k in range(n):
+        changes = {p: f"w{k}_{p}" for p in rng.sample(range(5, 795), 7)}
+        if k % 10 == 9:
+            changes.pop(next(iter(changes)))
+            p = rng.choice(list(last))
+            changes[p] = last[p]
+        texts.append([changes.get(p, w) for p, w in enumerate(base)])
+        last = changes
+    rng.shuffle(texts)
+    return texts
+
+
+def plain_components(texts: list[list[str]], percent: int) -> list[int]:
+    codes: dict = {}
+    sets = [{codes.setdefault(tuple(t[k : k + 5]), len(codes)) for k in range(len(t) - 4)} for t in texts]
+    grid = np.zeros((len(sets), len(codes)), np.float32)
+    for k, s in enumerate(sets):
+        grid[k, list(s)] = 1
+    both, size = grid @ grid.T, grid.sum(1)
+    linked, label = 100 * both >= percent * (size[:, None] + size[None] - both), np.arange(len(sets))
+    while True:
+        low = np.where(linked, label[None], len(sets)).min(1)
+        if (low == label).all():
+            return label.tolist()
+        label = low
+
+
+def test_near_dedup_compares_whole_regions(spark, monkeypatch):
+    # A reach that is small beside the region, as a large region has it; and several blocks.
+    for name, n in (("NEAR_ROWS", 1), ("FAR_ROWS", 2), ("BLOCK_ROWS", 60)):
+        monkeypatch.setattr(near_dedup, name, n, raising=False)
+    texts = template_region(400, 8)
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_dedup(df).collect()}
+    assert [got[k] for k in range(len(texts))] == plain_components(texts, 85)
+
+
 def test_compact_windows():
     rng = np.random.default_rng(2)
     for h in (rng.integers(0, 50, 60).astype(np.uint64), np.zeros(30, np.uint64), rng.integers(0, 1 << 60, 200).astype(np.uint64)):
