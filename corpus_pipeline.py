@@ -13,6 +13,9 @@ from logloom.llm import line_dedup, mixing, near_dedup, quality
 from logloom.llm.common import keep
 from logloom.llm.queries import BOILERPLATE_PAGES, BOILERPLATE_RATIO, QUALITY_FLOOR, digests, vocabulary_path
 
+#: Near copies in the pipeline. A pair of 80 % shares no region of 16 trees in 0.2 % of cases, of 24 trees in 0.007 %.
+NEAR_PERCENT, NEAR_TREES = 80, 24
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the co-trained classifier rejects go."""
@@ -29,7 +32,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, and one row of each document. Rows without an id all stay."""
-    kept = near_dedup.near_dedup(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    kept = near_dedup.near_dedup(docs, NEAR_PERCENT, trees=NEAR_TREES).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     one = Window.partitionBy("doc_id").orderBy("text", "source", "lang")
     rows = docs.join(kept, "doc_id", "left_semi").withColumn("__copy", F.row_number().over(one)).where("__copy = 1")
     return rows.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
