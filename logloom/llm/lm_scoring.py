@@ -1,9 +1,12 @@
 """LM scoring by stupid backoff, computed relationally.
 
-Words are those of a vocabulary, the most frequent words of the corpus; all others are one unknown word. Each document is
-exploded into its distinct word pairs with how often they occur. Pairs are counted over all documents, in a table
-partitioned by the hash of the pair; the exploded pairs meet their counts there and are summed per document:
+Words, word pairs and triples are 64-bit keys, counted over all documents in tables partitioned by the key: nothing is
+collected, and the tables grow with the corpus. Each document is exploded into its distinct n-grams with how often they
+occur; these meet their scores by one shuffle and are summed per document. With ``order`` 3,
+``S(w | u v) = c(u v w) / c(u v)`` if the triple occurs ``min_count`` times, else ``0.4 * S(w | v)``;
 ``S(w | v) = c(v w) / c(v)`` if the pair occurs ``min_count`` times, else ``0.4 * c(w) / N``.
+
+With a ``size``, words are those of a vocabulary, the most frequent of the corpus; all others are one unknown word.
 """
 
 from __future__ import annotations
@@ -12,19 +15,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.common import GAP, ascii_lower, keep, text_or_empty
+from logloom.llm.near_dedup import _mixed
 
-#: Words of the vocabulary; with the unknown word its table has a bounded size and may be broadcast.
-VOCABULARY = 30_000
-#: A pair (v, w) is the number v * SHIFT + w.
-SHIFT = 1 << 20
 BACKOFF, MIN_COUNT = 0.4, 2
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY, text: str = "text") -> DataFrame:
+def vocabulary(docs: DataFrame, size: int, text: str = "text") -> DataFrame:
     """(word, word_id, n) of the ``size`` most frequent words, ids from 1 by frequency, and of the unknown word: id 0, word null.
 
     Counts are over all documents, summed before they are shuffled. Words are lower-cased in A-Z.
@@ -37,53 +38,86 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY, text: str = "text") -> D
     return docs.sparkSession.createDataFrame([(None, 0, total - sum(r[2] for r in rows)), *rows], "word string, word_id int, n long")
 
 
-def _pairs(ids: dict[bytes, int], doc_words):
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keys(text: str | None, ids: dict[bytes, int] | None) -> np.ndarray:
+    found = (text or "").encode("utf-8", "replace").lower().split()
+    keys = map(xxhash.xxh3_64_intdigest, found) if ids is None else (ids.get(w, 0) for w in found)
+    return np.fromiter(keys, np.uint64, len(found))
+
+
+def _grown(key: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The key of an n-gram with one more word at its end."""
+    return _mixed(key * np.uint64(0x9E3779B97F4A7C15) + _mixed(word + np.uint64(0xD1342543DE82EF95)))
+
+
+def _single(ids: dict[bytes, int] | None):
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, docs, times = [], [], []
-            for doc, text in zip(*[c.to_pylist() for c in batch.columns]):
-                w = doc_words(text, ids)
-                if len(w) > 1:
-                    key, n = np.unique(w[:-1] * SHIFT + w[1:], return_counts=True)
-                    keys.append(key), docs.append(np.full(len(key), doc)), times.append(n)
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, docs, times)], ["pair", "id", "times"])
+            texts = batch.column(1).to_pylist()
+            key, n = np.unique(np.concatenate([np.empty(0, np.uint64), *(_keys(t, ids) for t in texts)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["word", "n"])
 
-    return pairs
+    return single
 
 
-def _words(text: str | None, ids: dict[bytes, int]) -> np.ndarray:
-    found = (text or "").encode("utf-8", "replace").lower().split()
-    return np.fromiter((ids.get(w, 0) for w in found), np.int64, len(found))
+def _grams(ids: dict[bytes, int] | None, order: int):
+    """Documents -> their distinct longest n-grams: gram, whether it is a triple, its first pair, its last pair and that pair's words."""
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, text in zip(*[c.to_pylist() for c in batch.columns]):
+                word = _keys(text, ids)
+                if len(word) < 2:
+                    continue
+                pair = _grown(word[:-1], word[1:])
+                gram, triple, first = pair.copy(), np.zeros(len(pair), bool), pair.copy()
+                if order > 2:
+                    gram[1:], triple[1:], first[1:] = _grown(pair[:-1], word[2:]), True, pair[:-1]
+                gram, at, times = np.unique(gram, return_index=True, return_counts=True)
+                numbers = [x.view(np.int64) for x in (gram, first[at], pair[at], word[at], word[at + 1])]
+                out.append((*numbers, triple[at], np.full(len(gram), doc), times))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["gram", "first", "pair", "v", "w", "triple", "id", "times"])
+
+    return grams
 
 
 def stupid_backoff(
-    docs: DataFrame, size: int = VOCABULARY, min_count: int = MIN_COUNT, backoff: float = BACKOFF, doc_id: str = "doc_id", text: str = "text",
+    docs: DataFrame, size: int | None = None, min_count: int = MIN_COUNT, backoff: float = BACKOFF, doc_id: str = "doc_id", text: str = "text",
+    order: int = 2,
 ) -> DataFrame:
-    """One row per document id: id, ``n_pairs`` (scored word pairs), ``log_score`` (sum of ln S), ``perplexity`` (exp of the negative mean).
+    """One row per document id: id, ``n_pairs`` (scored words, all but the first), ``log_score`` (sum of ln S), ``perplexity`` (exp of the negative mean).
 
     Documents of fewer than two words, null and empty texts among them, have no pair, a sum of 0 and a null perplexity. Rows
-    that share an id are summed as one document; rows with a null id are counted, and scored as one. Pairs reach their
-    counts by one shuffle; hot pairs are counted before it and split in the join.
+    that share an id are summed as one document; rows with a null id are counted, and scored as one. The second word of a
+    text has a pair only. Hot n-grams are counted before the shuffle and split in the joins.
     """
-    words = vocabulary(docs, size, text)
-    # At most ``size`` + 1 rows, by the limit above.
-    known = words.collect()
-    ids = {r["word"].encode(): r["word_id"] for r in known if r["word"] is not None}
-    total = float(sum(r["n"] for r in known))
+    ids = None
+    if size is not None:
+        # At most ``size`` + 1 rows, by the limit above.
+        ids = {r["word"].encode(): r["word_id"] for r in vocabulary(docs, size, text).collect() if r["word"] is not None}
     named = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     absent = F.lit(-(1 << 62)).cast("long")
-    exploded = named.select(F.coalesce("id", absent).alias("id"), "text").mapInArrow(_pairs(ids, _words), "pair long, id long, times long")
-    counts = exploded.groupBy("pair").agg(F.sum("times").alias("n")).where(F.col("n") >= min_count)
-    v, w = F.floor(F.col("pair") / SHIFT).cast("int"), (F.col("pair") % SHIFT).cast("int")
-    context = F.broadcast(words.select(F.col("word_id").alias("v"), F.col("n").alias("v_n")))
-    counts = counts.withColumn("v", v).join(context, "v").select("pair", F.log(F.col("n") / F.col("v_n")).alias("seen"))
-    counts = keep(counts, "pairs")
-    alone = F.broadcast(words.where("n > 0").select(F.col("word_id").alias("w"), F.log(F.lit(backoff) * F.col("n") / F.lit(total)).alias("unseen")))
-    scored = exploded.join(counts, "pair", "left").withColumn("w", w).join(alone, "w")
-    summed = scored.groupBy("id").agg(
-        F.sum("times").alias("n_pairs"), F.sum(F.col("times") * F.coalesce("seen", "unseen")).alias("log_score"),
-    )
+    filled = named.select(F.coalesce("id", absent).alias("id"), "text")
+    exploded = filled.mapInArrow(_grams(ids, order), "gram long, first long, pair long, v long, w long, triple boolean, id long, times long")
+    words = keep(filled.mapInArrow(_single(ids), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    total = float(words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    grams = exploded.groupBy("gram").agg(F.sum("times").alias("n"), *[F.min(c).alias(c) for c in ("first", "pair", "v", "w", "triple")])
+    grams = keep(grams, "grams")
+    # Each scored word is of one longest n-gram, so these sum to all pairs.
+    pairs = grams.groupBy("pair").agg(F.sum("n").alias("n"), F.min("v").alias("v"), F.min("w").alias("w"))
+    after, alone = (words.select(F.col("word").alias(c), F.col("n").alias(f"{c}_n")) for c in "vw")
+    seen = F.when(F.col("n") >= min_count, F.log(F.col("n") / F.col("v_n"))).otherwise(F.log(F.lit(backoff) * F.col("w_n") / F.lit(total)))
+    pairs = keep(pairs.join(after, "v").join(alone, "w").select("pair", "n", seen.alias("s")), "pairs")
+    scores = grams.select("gram", "n", "first", "pair", "triple").join(pairs.select("pair", F.col("s").alias("lower")), "pair")
+    if order > 2:
+        scores = scores.join(pairs.select(F.col("pair").alias("first"), F.col("n").alias("first_n")), "first")
+        longest = F.when(F.col("n") >= min_count, F.log(F.col("n") / F.col("first_n"))).otherwise(F.log(F.lit(backoff)) + F.col("lower"))
+        scores = scores.select("gram", F.when(F.col("triple"), longest).otherwise(F.col("lower")).alias("s"))
+    else:
+        scores = scores.select("gram", F.col("lower").alias("s"))
+    scored = exploded.select("gram", "id", "times").join(keep(scores, "scores"), "gram")
+    summed = scored.groupBy("id").agg(F.sum("times").alias("n_pairs"), F.sum(F.col("times") * F.col("s")).alias("log_score"))
     everyone = named.select(F.coalesce("id", absent).alias("id")).distinct()
     out = everyone.join(summed, "id", "left")
     return out.select(

@@ -73,7 +73,7 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.stupid_backoff(read(spark, sf_dir, "documents"))
+    return lm_scoring.stupid_backoff(read(spark, sf_dir, "documents"), min_count=1, order=3)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

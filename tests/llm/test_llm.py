@@ -243,6 +243,21 @@ def test_lm_scoring(docs, empty):
     assert set(out) == {i for i, _ in texts} and lm_scoring.stupid_backoff(empty).count() == 0
 
 
+def test_lm_scoring_counts_every_word(spark, tmp_path):
+    rng = random.Random(6)
+    # More distinct words than any fixed vocabulary: half of them rare.
+    texts = [[f"r{k}_{p}" if rng.random() < 0.5 else f"c{rng.randrange(20)}" for p in range(200)] for k in range(400)] + [["lone"], ["r0_1", "r0_1"]]
+    spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    one, two, three = (Counter(g for t in texts for g in zip(*(t[k:] for k in range(n)))) for n in (1, 2, 3))
+    assert len(one) > 30_000
+    out = {r["doc_id"]: r for r in rows_of(llm_queries.op8_lm_scoring(spark, str(tmp_path)))}
+    assert set(out) == set(range(len(texts)))
+    for k, t in enumerate(texts):
+        pair = np.log(two[t[0], t[1]] / one[(t[0],)]) if len(t) > 1 else 0.0
+        rest = sum(np.log(three[g] / two[g[:2]]) for g in zip(t, t[1:], t[2:]))
+        assert out[k]["n_pairs"] == len(t) - 1 and out[k]["log_score"] == pytest.approx(pair + rest)
+
+
 def test_bpe(docs, empty):
     from tokenizers import Tokenizer
 
