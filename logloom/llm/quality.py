@@ -162,9 +162,9 @@ def train(
     i = F.col(f"`{doc_id}`")
     known = labels.where(i.isNotNull() & F.col(label).isNotNull()).select(i.alias("__q_id"), F.col(label).cast("double").alias("__q_y"))
     teach = known.orderBy(F.xxhash64("__q_id"), "__q_id", "__q_y").limit(sample)
-    # Ids without a label: of twice as many candidates of low hash, those that have none. At most 2 * unlabelled rows.
-    some = docs.where(i.isNotNull()).select(i.alias("__q_id")).orderBy(F.xxhash64("__q_id"), "__q_id").limit(2 * unlabelled)
-    some = some.join(known.select("__q_id"), "__q_id", "left_anti").withColumn("__q_y", F.lit(-1.0)).distinct().limit(unlabelled)
+    # Of all ids without a label, those of the lowest hash.
+    some = docs.where(i.isNotNull()).select(i.alias("__q_id")).distinct().join(known.select("__q_id"), "__q_id", "left_anti")
+    some = some.orderBy(F.xxhash64("__q_id"), "__q_id").limit(unlabelled).withColumn("__q_y", F.lit(-1.0))
     # Both sides are bounded by the parameters, so they may be broadcast.
     chosen = F.broadcast(teach.unionByName(some))
     rows = _inputs(docs, text, source, lang, chars).withColumn("__q_id", i).select("__q_id", "__q_text", "__q_source", "__q_lang", "__q_chars").join(chosen, "__q_id")

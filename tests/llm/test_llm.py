@@ -303,6 +303,17 @@ def test_quality(spark, docs, empty):
     assert quality.score(empty, quality.train(empty, labels)).count() == 0
 
 
+def test_quality_pool_is_of_all_unlabelled(spark, monkeypatch):
+    df = spark.createDataFrame([(k, f"text {k}", "en", "s", k) for k in range(300)], "doc_id long, text string, lang string, source string, n_chars long")
+    ids = [r["doc_id"] for r in df.orderBy(F.xxhash64("doc_id")).collect()]
+    # All but the 20 highest hashes have labels.
+    labels = spark.createDataFrame([(k, k % 2) for k in ids[:280]], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "co_train", lambda text, meta, y, free_text, free_meta, rounds: free_meta)
+    got = quality.train(df, labels, unlabelled=10)
+    expected = np.array([quality.meta_view("s", "en", float(k)) for k in ids[280:290]])
+    assert got.shape == expected.shape and (got == expected).all()
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
