@@ -8,8 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import ann, bpe, exact_dedup, line_dedup, lm_scoring, mixing, near_dedup, quality, substring_dedup, toxicity
-from logloom.llm.common import spaced, text_or_empty
+from logloom.llm import (
+    ann, bpe, exact_dedup, jaccard_join, line_dedup, lm_scoring, mixing, near_dedup, quality, runs, spelling, substring_dedup, toxicity,
+)
+from logloom.llm.common import GAP, ascii_lower, spaced, text_or_empty
 
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 GAP_SQL = r"[\x20\x09-\x0D]+"
@@ -99,6 +101,55 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path())
 
 
+#: A spelling is a run of letters; one of ``SPELLING_EVERY`` (by hash of document and run) loses a code point first.
+LETTERS = "[A-Za-z\u00C0-\u00FF]+"
+SPELLING_EVERY = 97
+JOIN_PERCENT = 90
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode(F.regexp_extract_all("text", F.lit(LETTERS), F.lit(0))).alias("run"))
+    # A word is never longer than its run.
+    low = found.where(F.char_length("run") >= spelling.MIN_POINTS).select("id", ascii_lower(F.col("run")).alias("run"))
+    hashed = low.withColumn("h", F.crc32(F.concat_ws(":", "id", "run").cast("binary")))
+    place = (F.col("h") % F.char_length("run")).cast("int")
+    cut = F.concat(F.substr(F.col("run"), F.lit(1), place), F.substr(F.col("run"), place + 2))
+    words = hashed.select(F.when(F.col("h") % SPELLING_EVERY == 0, cut).otherwise(F.col("run")).alias("word"))
+    return spelling.variants(spelling.vocabulary(words)).select("word", "n", "n_near", "form", "form_n", "root")
+
+
+def repeated_tails(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): of one document in ten (by hash of its id) the words from some place on repeat the first few there."""
+    words = F.filter(F.split(F.col("text"), GAP), lambda w: w != "")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("w"))
+    rows = rows.withColumn("n", F.size("w").cast("long")).withColumn("a", F.expr("g % nullif(n, 0)"))
+    left = F.col("n") - F.col("a")
+    rows = rows.withColumn("p", F.floor(left / (F.col("g") % 8 + 3)) + 1)
+    start, period, left = F.col("a").cast("int"), F.col("p").cast("int"), left.cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("w", start + 1, period), F.ceil(left / period).cast("int"))), F.lit(1), left)
+    return rows.select("doc_id", F.when(F.col("n") > 0, F.array_join(F.concat(F.slice("w", F.lit(1), start), tail), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(repeated_tails(read(spark, sf_dir, "documents")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("o"), r["start"].alias("start"), r["period"].alias("period"))))
+    found = found.withColumn("best", best)
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    length = -F.col("best.o")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), length.alias("length"),
+        F.col("best.period").alias("period"), F.expr("best.o * -1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(read(spark, sf_dir, "documents"), JOIN_PERCENT)
+
+
 MIX_SQL = rf"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD_SQL}'))::BIGINT AS size,
@@ -139,6 +190,37 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*)
        doc_id IS NOT DISTINCT FROM min(doc_id) OVER (PARTITION BY text_sha256) AS kept, text_sha256 FROM d
 """
 
+#: crc32 by its table of 256 values, which follows from the polynomial 0xEDB88320 (3988292384).
+SPELLING_SQL = rf"""
+WITH RECURSIVE t AS (
+  SELECT list(v ORDER BY i) AS tab FROM (
+    SELECT i, list_reduce([i] || [0::BIGINT for k in range(8)], lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS v
+    FROM range(256) r(i))),
+low AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id,
+         translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents),
+d AS (SELECT id, run, count(*) AS c, hex(encode(id || ':' || run)) AS x FROM low WHERE length(run) >= {spelling.MIN_POINTS} GROUP BY id, run),
+h AS (
+  SELECT run, c, xor(list_reduce([4294967295] || [('0x' || substr(x, 2 * k + 1, 2))::BIGINT for k in range(length(x) // 2)],
+                                 lambda a, b: xor(a // 256, tab[xor(a, b) % 256 + 1])), 4294967295) AS h FROM d, t),
+w AS (SELECT CASE WHEN h % {SPELLING_EVERY} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM h),
+v AS (SELECT word, sum(c)::BIGINT AS n FROM w WHERE length(word) >= {spelling.MIN_POINTS} GROUP BY word HAVING sum(c) >= {spelling.MIN_COUNT}),
+cuts AS (SELECT word, n, k, substr(word, 1, k) || substr(word, k + 2) AS cut FROM (SELECT word, n, unnest(range(length(word))) AS k FROM v)),
+near AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM cuts a JOIN cuts b ON a.k = b.k AND a.cut = b.cut AND a.word <> b.word
+  UNION SELECT c.word, v.word, v.n FROM cuts c JOIN v ON c.cut = v.word
+  UNION SELECT v.word, c.word, c.n FROM cuts c JOIN v ON c.cut = v.word),
+best AS (SELECT word, count(*) AS n_near, min((-near_n, near)) AS best, max(near_n) AS near_n FROM near GROUP BY word),
+f AS (
+  SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN near_n >= 2 * n THEN best[2] END AS form,
+         CASE WHEN near_n >= 2 * n THEN near_n END AS form_n FROM v LEFT JOIN best ON v.word = best.word),
+chain AS (
+  SELECT word, word AS last, 0 AS steps FROM f
+  UNION ALL SELECT chain.word, f.form, steps + 1 FROM chain JOIN f ON chain.last = f.word WHERE f.form IS NOT NULL)
+SELECT f.*, r.root FROM f JOIN (SELECT word, max_by(last, steps) AS root FROM chain GROUP BY word) r ON f.word = r.word
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     # Imported here: the pipeline is made of this package's operators.
@@ -149,4 +231,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": MIX_SQL, "op2_line_dedup": LINES_SQL, "op4_exact_dedup": EXACT_SQL}
+    return {"op1_mixing": MIX_SQL, "op2_line_dedup": LINES_SQL, "op4_exact_dedup": EXACT_SQL, "op11_spelling_variants": SPELLING_SQL}
