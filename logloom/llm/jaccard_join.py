@@ -12,7 +12,9 @@ ones. So every set chooses its own l: a longer prefix, and correspondingly more
    1 / l of them a verification each; the cheapest l is taken.
 4. Posting lists of the prefixes are first linked to a centre each, the set with the fewest shingles of its own, which
    joins a group of near copies in a linear number of pairs. Of the pairs left, those of two components are counted over
-   all lists and verified where they share enough. The largest component of a list is not compared with itself.
+   all lists and verified where they share enough. The largest component of a list is not compared with itself. Sets
+   that meet in a list of a frequent shingle have all their rarer shingles in their prefixes; where they share none of
+   these, they share frequent ones only, and few of such pairs have enough of them.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ WORDS = 3
 PROBE, PROBE_PART = 4, 16
 #: Prefixes are lengthened by at most so many shingles; a posting and a verification cost as much as so many candidates of a list.
 MATCHES, POSTING, VERIFY = 8, 8, 16
+#: A shingle of more sets than these is frequent.
+FREQUENT = 32
 
 
 def required(n, percent: int):
@@ -102,9 +106,10 @@ def survivors(classes: DataFrame) -> DataFrame:
 
 
 def prefixes(sets: DataFrame, percent: int, matches: int = MATCHES, posting: int = POSTING, verify: int = VERIFY) -> DataFrame:
-    """Sets (node, n, tokens) -> postings (token, node, n, m, l): the adapted prefix of each set without shingles of its own.
+    """Sets (node, n, tokens) -> postings (token, df, node, n, m, f, p, l): the adapted prefix of each set without shingles of its own.
 
-    ``m`` is how many of the set's shingles other sets have too, ``l`` how many it asks to share.
+    ``m`` is how many of the set's shingles other sets have too, ``f`` how many are frequent, ``p`` how many of these its
+    prefix holds, ``l`` how many shingles it asks to share.
     """
     slots = sets.select("node", "n", F.explode("tokens").alias("token"))
     df = slots.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
@@ -119,13 +124,14 @@ def prefixes(sets: DataFrame, percent: int, matches: int = MATCHES, posting: int
     pairs = lambda l: F.aggregate(first(l), F.lit(0).cast("long"), lambda s, x: s + x["df"] - 1)
     costs = [F.when(t >= l, F.struct((F.greatest(F.lit(0), base + l) * posting + pairs(l) * (1 + verify / l)).alias("cost"), F.lit(l).alias("l"))) for l in range(1, matches + 1)]
     chosen = ordered.where(100 * m >= percent * n).withColumn("m", m).withColumn("l", F.array_min(F.array(*costs))["l"])
-    return chosen.select("node", "n", "m", "l", F.explode(F.transform(first(F.col("l")), lambda x: x["token"])).alias("token"))
+    frequent = lambda a: F.size(F.filter(a, lambda x: x["df"] > FREQUENT)).cast("long")
+    chosen = chosen.withColumn("prefix", first(F.col("l"))).withColumn("f", frequent("slots")).withColumn("p", frequent("prefix"))
+    return chosen.select("node", "n", "m", "f", "p", "l", F.inline("prefix"))
 
 
-def _may_link(percent: int, x: str, y: str) -> Column:
-    """Shingles of its own are in no intersection: a pair shares at most the smaller m."""
-    least = F.least(f"{x}_m", f"{y}_m")
-    return 100 * least >= percent * (F.col(f"{x}_n") + F.col(f"{y}_n") - least)
+def _may_link(percent: int, least: Column) -> Column:
+    """Whether sets of these sizes are similar enough if they share ``least``."""
+    return 100 * least >= percent * (F.col("a_n") + F.col("b_n") - least)
 
 
 def _side(postings: DataFrame, x: str) -> DataFrame:
@@ -134,10 +140,10 @@ def _side(postings: DataFrame, x: str) -> DataFrame:
 
 def centre_pairs(postings: DataFrame, percent: int) -> DataFrame:
     """Each set with its lists' centres: one pair a posting at most."""
-    own = F.struct(((F.col("n") - F.col("m")) / F.col("n")).alias("own"), "node", "n", "m")
+    own = F.struct(((F.col("n") - F.col("f")) / F.col("n")).alias("own"), "node", "n", "m")
     centres = postings.groupBy("token").agg(F.min(own).alias("c"), F.count("*").alias("sets")).where("sets > 1")
     centres = centres.select("token", F.col("c.node").alias("a"), F.col("c.n").alias("a_n"), F.col("c.m").alias("a_m"))
-    met = _side(postings, "b").join(centres.hint("merge"), "token").where((F.col("a") != F.col("b")) & _may_link(percent, "a", "b"))
+    met = _side(postings, "b").join(centres.hint("merge"), "token").where((F.col("a") != F.col("b")) & _may_link(percent, F.least("a_m", "b_m")))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -149,10 +155,13 @@ def open_pairs(postings: DataFrame, labels: DataFrame, percent: int) -> DataFram
     top = count.groupBy("token").agg(F.max(F.struct("sets", "component"))["component"].alias("top"), F.count("*").alias("k")).where("k > 1").drop("k")
     rows = keep(rows.join(top.hint("merge"), "token").withColumn("in_top", F.col("component") == F.col("top")).drop("top"), "open")
     left, right = _side(rows.where("NOT in_top"), "a").hint("merge"), _side(rows, "b").hint("merge")
-    met = left.join(right, "token").where(_may_link(percent, "a", "b") & F.expr("a_component <> b_component AND (b_in_top OR a < b)"))
+    rare = F.col("a_df") <= FREQUENT
+    shared = F.when(rare, F.least("a_m", "b_m")).otherwise(F.least("a_f", "b_f"))
+    met = left.join(right, "token").where(_may_link(percent, shared) & F.expr("a_component <> b_component AND (b_in_top OR a < b)"))
     pairs = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(
-        F.count("*").alias("shared"), F.first(F.least("a_l", "b_l")).alias("l"))
-    return pairs.where("shared >= l").select("a", "b")
+        F.count("*").alias("shared"), F.count_if(rare).alias("rare"), F.first(F.least("a_p", "b_p")).alias("p"), F.first(F.least("a_l", "b_l")).alias("l"))
+    # Pairs that share a rare shingle may have been left out of the lists of frequent ones.
+    return pairs.where(F.when(F.col("rare") > 0, F.col("rare") + F.col("p")).otherwise(F.col("shared")) >= F.col("l")).select("a", "b")
 
 
 def jaccard_join(docs: DataFrame, percent: int = 90, words: int = WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
