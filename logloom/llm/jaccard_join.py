@@ -96,13 +96,18 @@ def _confirmed(percent: int):
     return confirm
 
 
+def by_token(sets: DataFrame, tokens: str) -> DataFrame:
+    """(token, node), dealt by token once: what counts and what looks counts up share this shuffle. A set has a token once."""
+    return sets.select(F.explode(tokens).alias("token"), "node").repartition("token")
+
+
 def survivors(classes: DataFrame) -> DataFrame:
     """Classes (node, need, probe) -> the nodes whose probes share enough with others'."""
-    slots = classes.select("node", "need", F.explode("probe").alias("token"))
-    shared = slots.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1").select("token")
+    slots = by_token(classes, "probe")
+    shared = slots.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("token")
     # Merge joins at every size: what is measured on little data is the plan that runs on much.
-    hits = slots.join(shared.hint("merge"), "token", "left_semi").groupBy("node").agg(F.count("*").alias("hits"), F.first("need").alias("need"))
-    return hits.where("hits >= need").select("node")
+    hits = slots.join(shared.hint("merge"), "token", "left_semi").groupBy("node").agg(F.count("*").alias("hits"))
+    return classes.select("node", "need").join(hits.hint("merge"), "node").where("hits >= need").select("node")
 
 
 def prefixes(sets: DataFrame, percent: int, matches: int = MATCHES, posting: int = POSTING, verify: int = VERIFY) -> DataFrame:
@@ -111,11 +116,12 @@ def prefixes(sets: DataFrame, percent: int, matches: int = MATCHES, posting: int
     ``m`` is how many of the set's shingles other sets have too, ``f`` how many are frequent, ``p`` how many of these its
     prefix holds, ``l`` how many shingles it asks to share.
     """
-    slots = sets.select("node", "n", F.explode("tokens").alias("token"))
-    df = slots.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    slots = by_token(sets, "tokens")
+    df = slots.groupBy("token").agg(F.count("*").alias("df"), F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("token", "df")
     met = slots.join(df.hint("merge"), "token")
     # Ordered per set: arrays of structs sort by df, then token. A set is the unit that a task holds.
-    ordered = met.groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("slots"))
+    ordered = met.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("slots"))
+    ordered = ordered.join(sets.select("node", "n").hint("merge"), "node")
     n, m = F.col("n"), F.size("slots").cast("long")
     t = F.floor((n * percent + 99) / 100)
     # Places of the prefix that are left after the shingles of its own, for l = 0.
@@ -178,10 +184,11 @@ def jaccard_join(docs: DataFrame, percent: int = 90, words: int = WORDS, doc_id:
     ids = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     rows = keep(ids.mapInArrow(_probes(words, percent), "id long, node long, n long, need long, probe array<long>"), "probes")
     named = rows.where("n > 0 AND id IS NOT NULL")
-    # Of a class, its smallest id's text is read again.
-    heads = named.groupBy("node").agg(F.min("id").alias("id"))
-    classes = named.join(heads.hint("merge"), ["node", "id"], "left_semi").dropDuplicates(["node"])
-    left = keep(survivors(classes), "left")
+    # Of a class, one probe stands for all, and its smallest id's text is read again.
+    classes = named.groupBy("node").agg(F.min("id").alias("id"), F.first("need").alias("need"), F.first("probe").alias("probe"))
+    classes = keep(classes, "classes")
+    heads = classes.select("node", "id")
+    left = survivors(classes)
     asked = keep(heads.join(left.hint("merge"), "node", "left_semi"), "asked")
     texts = ids.join(asked.select("id").distinct().hint("merge"), "id", "left_semi").select("text")
     sets = texts.mapInArrow(_sets(words), "node long, n long, tokens array<long>")
