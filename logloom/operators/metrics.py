@@ -54,9 +54,9 @@ def _labelled(name: str, label: str, values: Sequence[str]) -> list[Metric]:
     return [(name, label, v, f"c_{v.lower()}") for v in values]
 
 
-def _severity_metrics(findings: DataFrame, name: str) -> DataFrame:
+def _severity_metrics(findings: DataFrame, name: str, kind: str = "gauge") -> DataFrame:
     one = findings.agg(*_class_counts(F.col("severity"), SEVERITIES))
-    return _rows(one, [(name, "severity", s.lower(), f"c_{s.lower()}") for s in SEVERITIES])
+    return _rows(one, [(name, "severity", s.lower(), f"c_{s.lower()}") for s in SEVERITIES], kind)
 
 
 def audit_gauges(df: DataFrame, kept: DataFrame, hits: DataFrame) -> DataFrame:
@@ -139,6 +139,103 @@ def common_gauges(scan: DataFrame, finished: float, elapsed: float, errors: int,
     return _rows(one, metrics)
 
 
+# Counters of one tick: what the tick adds to each series, every label value present. A scanner sums them up.
+
+
+def audit_counters(df: DataFrame, hits: DataFrame) -> DataFrame:
+    one = df.agg(F.count_if(audit.is_write()).alias("writes"), F.count("error_code").alias("errors"))
+    return _severity_metrics(hits, "findings_total", "counter").unionByName(_rows(one, [
+        ("cloudtrail_write_events_total", None, None, "writes"), ("cloudtrail_error_events_total", None, None, "errors"),
+    ], "counter"))
+
+
+def lb_counters(requests: DataFrame, connections: DataFrame) -> DataFrame:
+    v, h = lb.latency(), F.col("tls_handshake_time")
+    has_status = F.when(F.col("elb_status").isNotNull(), d.metric_status_class(F.col("elb_status")))
+    req = requests.agg(
+        *_class_counts(has_status, STATUS_CLASSES), F.sum("received_bytes").alias("received"), F.sum("sent_bytes").alias("sent"),
+        F.sum(v).alias("seconds"), F.count(v).alias("measured"),
+    )
+    con = connections.agg(
+        F.count("*").alias("conns"), F.count("ssl_protocol").alias("tls"), F.count_if(lb.failed()).alias("failed"),
+        F.sum(h).alias("seconds"), F.count(h).alias("measured"),
+    )
+    return _rows(req, [
+        *_labelled("elb_requests_total", "status_class", STATUS_CLASSES),
+        ("elb_received_bytes_total", None, None, "received"), ("elb_sent_bytes_total", None, None, "sent"),
+        ("elb_latency_seconds_sum", None, None, "seconds"), ("elb_latency_seconds_count", None, None, "measured"),
+    ], "counter").unionByName(_rows(con, [
+        ("elb_conns_total", None, None, "conns"), ("elb_conns_tls_total", None, None, "tls"),
+        ("elb_tls_handshake_failed_total", None, None, "failed"),
+        ("elb_tls_handshake_seconds_sum", None, None, "seconds"), ("elb_tls_handshake_seconds_count", None, None, "measured"),
+    ], "counter"))
+
+
+def waf_counters(df: DataFrame, kept: DataFrame) -> DataFrame:
+    one = df.agg(*_class_counts(F.col("action"), WAF_ACTIONS))
+    return _rows(one, _labelled("waf_requests_total", "action", WAF_ACTIONS), "counter").unionByName(
+        _severity_metrics(kept, "waf_findings_total", "counter"))
+
+
+def object_counters(df: DataFrame, kept: DataFrame) -> DataFrame:
+    status_class = d.metric_status_class(objects.status().cast("string"))
+    one = df.agg(*_class_counts(status_class, STATUS_CLASSES), F.sum("bytes_sent").alias("sent"))
+    return _rows(one, [
+        *_labelled("s3_requests_total", "status_class", STATUS_CLASSES), ("s3_bytes_sent_total", None, None, "sent"),
+    ], "counter").unionByName(_severity_metrics(kept, "s3_findings_total", "counter"))
+
+
+def flow_counters(df: DataFrame, kept: DataFrame) -> DataFrame:
+    one = flows.only_flows(df).agg(
+        *_class_counts(F.col("action"), FLOW_ACTIONS), F.sum("bytes").alias("bytes"), F.sum("packets").alias("packets")
+    )
+    return _rows(one, [
+        *_labelled("vpc_flows_total", "action", FLOW_ACTIONS), ("vpc_bytes_total", None, None, "bytes"),
+        ("vpc_packets_total", None, None, "packets"),
+    ], "counter").unionByName(_severity_metrics(kept, "vpc_findings_total", "counter"))
+
+
+def scan_counters(tick: DataFrame, failed: int) -> DataFrame:
+    """What one committed tick, a row of the tick table, and the ``failed`` attempts before it add to the common series."""
+    one = tick.select(
+        *[(F.col("result") == r).cast("int").alias(f"c_{r}") if r != "failed" else F.lit(failed).alias("c_failed") for r in SCAN_RESULTS],
+        "objects", "records_read", "records_matched", "errors",
+    )
+    return _rows(one, [
+        *_labelled("scans_total", "result", SCAN_RESULTS), ("objects_scanned_total", None, None, "objects"),
+        ("records_read_total", None, None, "records_read"), ("records_matched_total", None, None, "records_matched"),
+        ("scan_errors_total", None, None, "errors"),
+    ], "counter")
+
+
+def scan_gauges(tick: DataFrame, seen: int, lookback: float, interval: float) -> DataFrame:
+    """Where a tick, a row of the tick table, leaves the gauges. ``last_success`` is there after a tick without errors only."""
+    one = tick.select(
+        (F.unix_micros("at") / 1e6).alias("finished"), "duration", "result", F.lit(seen).alias("seen"), F.lit(lookback).alias("lookback"),
+        F.lit(interval).alias("interval"),
+    )
+    always = [
+        ("last_scan_timestamp_seconds", None, None, "finished"), ("scan_duration_seconds", None, None, "duration"),
+        ("seen_keys", None, None, "seen"), ("lookback_seconds", None, None, "lookback"), ("interval_seconds", None, None, "interval"),
+    ]
+    return _rows(one, always).unionByName(_rows(one.where("result = 'ok'"), [("last_success_timestamp_seconds", None, None, "finished")]))
+
+
+def for_subcommand(metrics: DataFrame, name: str) -> DataFrame:
+    """The series of one family."""
+    return metrics.withColumn("labels", F.map_concat(F.create_map(F.lit("subcommand"), F.lit(name)), "labels"))
+
+
+def carried_on(before: DataFrame, more: DataFrame) -> DataFrame:
+    """A snapshot of all series and what a tick adds -> the next snapshot: counters add up, gauges take the new value or stay."""
+    both = before.withColumn("new", F.lit(0)).unionByName(more.withColumn("new", F.lit(1)))
+    return (
+        both.withColumn("series", labels_text(F.col("labels"))).groupBy("name", "type", "series")
+        .agg(F.max_by("labels", "new").alias("labels"), F.sum("value").alias("total"), F.max_by("value", "new").alias("newest"))
+        .select("name", "type", "labels", F.when(F.col("type") == "counter", F.col("total")).otherwise(F.col("newest")).alias("value"))
+    )
+
+
 def stamped(metrics: DataFrame, at: Column) -> DataFrame:
     return metrics.withColumn("at", at)
 

@@ -361,7 +361,7 @@ def queries() -> dict[str, Query]:
             f"FROM flows WHERE {OK} AND action <> 'ACCEPT'",
         ),
         "snk_13_flows": Query(
-            lambda t: gauge_rows(metrics.flow_gauges(t.flows, rules.cap_aggregate(findings(t)))),
+            lambda t: gauge_rows(metrics.flow_gauges(t.flows, rules.cap_aggregate(findings(t), 500))),
             "SELECT 'logloom_vpc_flows' AS name, 'gauge' AS type, 'action=' || a.action AS labels, CAST(count(f.action) AS DOUBLE) AS value "
             f"FROM (VALUES ('ACCEPT'), ('REJECT')) a(action) LEFT JOIN (SELECT action FROM flows WHERE {OK}) f USING (action) GROUP BY a.action "
             f"UNION ALL SELECT 'logloom_vpc_bytes', 'gauge', '', CAST(sum(bytes) AS DOUBLE) FROM flows WHERE {OK} "

@@ -207,7 +207,7 @@ def queries() -> dict[str, Query]:
             f"'bucket=' || bucket || ',job=logloom,kind=request,status_class=' || {CLASS} || ',subcommand=s3' AS labels FROM object_requests",
         ),
         "snk_13_objects": Query(
-            lambda t: metrics.object_gauges(t.object_requests, rules.cap_aggregate(findings(t))).select(
+            lambda t: metrics.object_gauges(t.object_requests, rules.cap_aggregate(findings(t), 500)).select(
                 "name", "type", lines.labels_text(F.col("labels")).alias("labels"), "value"
             ),
             "SELECT 'logloom_s3_requests' AS name, 'gauge' AS type, 'status_class=' || s.c AS labels, CAST(count(r.bucket) AS DOUBLE) AS value FROM (VALUES ('2xx'), ('3xx'), ('4xx'), ('5xx'), ('other')) s(c) "

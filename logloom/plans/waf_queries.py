@@ -205,7 +205,7 @@ def queries() -> dict[str, Query]:
         ),
         "snk_13_waf": Query(
             lambda t: metrics.waf_gauges(
-                t.waf_requests, rules.cap_aggregate(findings(t)), t.waf_requests.select("web_acl").distinct()
+                t.waf_requests, rules.cap_aggregate(findings(t), 500), t.waf_requests.select("web_acl").distinct()
             ).select("name", "type", lines.labels_text(F.col("labels")).alias("labels"), "value"),
             "SELECT 'logloom_waf_requests' AS name, 'gauge' AS type, 'action=' || a.action AS labels, CAST(count(f.action) AS DOUBLE) AS value FROM "
             "(VALUES ('ALLOW'), ('BLOCK'), ('COUNT'), ('CAPTCHA'), ('CHALLENGE')) a(action) LEFT JOIN waf_requests f USING (action) GROUP BY a.action "

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import os
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -56,7 +57,8 @@ def test_two_ticks_read_each_file_once_and_the_report_crosses_thresholds(spark,
     run(o)
     run(o)
     rows = {r["batch_id"]: r for r in ticks.ticks(spark, o).collect()}
-    assert [(r["result"], r["records_matched"]) for _, r in sorted(rows.items())] == [("ok", 4), ("ok", 4)]
+    # The last tick found no new file.
+    assert [(r["result"], r["objects"], r["records_matched"]) for _, r in sorted(rows.items())] == [("ok", 1, 4), ("ok", 1, 4), ("ok", 0, 0)]
     per_tick = ticks.read_table(spark, o, "findings")
     assert per_tick.count() == 0
     found = ticks.report(spark, families.FLOWS, o)["findings"].collect()
@@ -89,11 +91,12 @@ def test_failed_delivery_commits_nothing_and_is_repeated(spark, scanner, write):
     assert ticks.committed(spark, o) == []
     assert [r["result"] for r in ticks.failed_ticks(spark, o).collect()] == ["failed"]
     run(o)
-    assert ticks.committed(spark, o) == [0]
+    # The failed tick is repeated first, then the new run has its own, quiet one.
+    assert [(r["batch_id"], r["objects"]) for r in ticks.ticks(spark, o).orderBy("batch_id").collect()] == [(0, 1), (1, 0)]
     assert ticks.read_table(spark, o, "lines").count() == 1
     m = ticks.tick_history(spark, families.FLOWS, o)
     newest = m.where("name = 'logloom_scans_total'").select(F.col("labels.result").alias("r"), "value", "at").groupBy("r").agg(F.max("value").alias("v"))
-    assert {r["r"]: r["v"] for r in newest.collect()} == {"ok": 1.0, "partial": 0.0, "failed": 1.0}
+    assert {r["r"]: r["v"] for r in newest.collect()} == {"ok": 2.0, "partial": 0.0, "failed": 1.0}
 
 
 def test_corrupt_file_is_reported_retried_and_read_later(spark, scanner, write):
@@ -123,9 +126,115 @@ def test_prune_forgets_ticks_before_the_lookback(spark, scanner, write):
     write(name(2), flow_file(flow("198.51.100.7", 2, t=T0 + 26 * 3600)))
     later = options(clock=lambda: NOW + timedelta(hours=26))
     run(later)
-    assert ticks.prune(spark, later) == [0]
+    # The second tick has pruned the first one.
+    assert ticks.prune(spark, later) == []
     assert ticks.committed(spark, later) == [1]
     assert ticks.report(spark, families.FLOWS, later)["totals"].first()["flows"] == 1
+    assert ticks.read_table(spark, later, "lines").count() == 2
+    assert values(spark, later, "vpc_flows_total", action="REJECT") == [2.0]
+    assert values(spark, later, "seen_keys") == [2.0]
+    # Seen files are forgotten 48 hours later, but a tick that is the newest one stays.
+    much_later = options(clock=lambda: NOW + timedelta(hours=80))
+    ticks.prune(spark, much_later)
+    assert ticks.committed(spark, much_later) == [1]
+    assert [r["batch_id"] for r in ticks.read_table(spark, much_later, "seen").select("batch_id").distinct().collect()] == [1]
+    run(much_later)
+    # The newest tick with files stays too, outside the window.
+    assert ticks.committed(spark, much_later) == [1, 2] and ticks.report(spark, families.FLOWS, much_later)["totals"].first()["flows"] == 0
+    assert values(spark, much_later, "vpc_flows_total", action="REJECT") == [2.0, 2.0]
+
+
+def values(spark, o, name, **labels):
+    """A series' values in order of time."""
+    rows = ticks.tick_history(spark, families.FLOWS, o).where(F.col("name") == "logloom_" + name).collect()
+    return [r["value"] for r in sorted(rows, key=lambda r: r["at"]) if labels.items() <= r["labels"].items()]
+
+
+def test_quiet_folder_has_ticks(spark, scanner, write):
+    options, run = scanner
+    for k in range(3):
+        run(options(clock=lambda k=k: NOW + timedelta(minutes=15 * k)))
+    o = options()
+    rows = ticks.ticks(spark, o).orderBy("batch_id").collect()
+    assert [(r["result"], r["objects"]) for r in rows] == [("ok", 0)] * 3
+    assert values(spark, o, "last_success_timestamp_seconds") == [(NOW + timedelta(minutes=15 * k)).timestamp() for k in range(3)]
+    assert values(spark, o, "scans_total", result="ok") == [1.0, 2.0, 3.0]
+
+
+def test_interval_gives_ticks_without_files(spark, scanner, write):
+    options, _ = scanner
+    o = options(once=False, interval="1 second")
+    write(name(1), flow_file(flow("198.51.100.7", 1)))
+    q = ticks.start(spark, families.FLOWS, o)
+    try:
+        for _ in range(120):
+            if len(ticks.committed(spark, o)) >= 3:
+                break
+            q.awaitTermination(1)
+    finally:
+        q.stop()
+    rows = ticks.ticks(spark, o).orderBy("batch_id").collect()
+    assert len(rows) >= 3 and [r["objects"] for r in rows[:3]] == [1, 0, 0]
+
+
+def test_unreadable_files_wait_and_heal(spark, scanner, write):
+    options, run = scanner
+    good = gzip.compress(flow_file(flow("198.51.100.9", 22)).encode())
+    path = write(name(1), good[:30])
+    gone = write(name(2), good[:30])
+    tried = []
+    for k in range(3):
+        o = options(clock=lambda k=k: NOW + timedelta(minutes=15 * k))
+        run(o)
+        tried += [r["attempts"] for r in ticks.read_table(spark, o, "retry").where(F.col("batch_id") == k).collect()]
+        assert ticks.ticks(spark, o).where(F.col("batch_id") == k).first()["result"] == "partial"
+    # The second try comes at once, the third after one interval; the next one would come after three.
+    assert tried == [1, 1, 2, 2, 3, 3]
+    with open(path, "wb") as f:
+        f.write(good)
+    os.remove(gone)
+    o = options(clock=lambda: NOW + timedelta(minutes=30))
+    run(o)
+    assert ticks.ticks(spark, o).orderBy(F.desc("batch_id")).first()["result"] == "ok"
+    assert ticks.read_table(spark, o, "retry").where("batch_id = 3").count() == 0
+    assert values(spark, o, "vpc_flows_total", action="REJECT")[-1] == 1.0 and max(values(spark, o, "scan_errors_total")) == 6.0
+
+
+def test_ledger_meets_the_listing(spark, scanner):
+    """Files whose pause is over or that have changed are due, the longest waiting first; files that are gone leave the ledger."""
+    options, _ = scanner
+    at = lambda minutes: NOW + timedelta(minutes=minutes)
+    ledger = [(f"f{k}", "e", 1, NOW, at(k), NOW) for k in range(6)] + [("gone", "e", 1, NOW, NOW, NOW), ("changed", "e", 9, NOW, at(900), NOW)]
+    there = [(f"f{k}", NOW) for k in range(6)] + [("changed", at(1)), ("new", NOW)]
+    waiting, listed = spark.createDataFrame(ledger, ticks.RETRY_SCHEMA), spark.createDataFrame(there, "file string, modified timestamp")
+    for now, bound, want, rest in ((2, 1000, {"f0", "f1", "f2", "changed"}, {"f3", "f4", "f5"}), (4, 2, {"f0", "f1"}, {"f2", "f3", "f4", "f5", "changed"})):
+        due, later = ticks._due(waiting, listed, options(retry_files=bound), at(now))
+        assert ({r["file"] for r in due.collect()}, {r["file"] for r in later.collect()}) == (want, rest)
+
+
+def test_files_passed_over_as_too_old_are_on_record(spark, scanner, write):
+    options, run = scanner
+    write(name(1), flow_file(flow("198.51.100.7", 1)))
+    run(options())
+    old = write(name(2), flow_file(flow("198.51.100.7", 2)))
+    os.utime(old, (T0 - 10**6, T0 - 10**6))
+    for _ in range(2):
+        run(options())
+    o = options()
+    assert [r["file"].rsplit("/", 1)[1] for r in ticks.read_table(spark, o, "skipped").collect()] == [name(2).rsplit("/", 1)[1]]
+    assert values(spark, o, "records_read_total")[-1] == 1.0
+
+
+def test_lines_lie_in_order_of_event_time(spark, scanner, write):
+    options, run = scanner
+    write(name(1), flow_file(*[flow("198.51.100.7", p, t=T0 + (p * 37) % 100) for p in range(1, 60)]))
+    o = options(thresholds={"scan_ports": 20})
+    run(o)
+    for part in (r[0] for r in ticks.read_table(spark, o, "lines").select(F.input_file_name()).distinct().collect()):
+        rows = [(",".join(f"{k}={v}" for k, v in sorted(r["labels"].items())), r["at"]) for r in spark.read.parquet(part).collect()]
+        assert rows == sorted(rows)
+    kinds = {r["kind"]: r["count"] for r in ticks.read_table(spark, o, "lines").groupBy("kind").count().collect()}
+    assert kinds == {"flow": 59, "finding": 1}
 
 
 def test_every_family_runs_a_tick(spark, scanner, write, tmp_path):
