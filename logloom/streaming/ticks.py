@@ -178,7 +178,7 @@ def _write_results(df: DataFrame, batch_id: int, family: Family, o: Options, now
             _write(found, o, "findings", batch_id)
             found = read_table(spark, o, "findings", None, [batch_id]).drop("batch_id")
             written = written.unionByName(lines.finding_lines(found, run, family.name))
-        _write(lines.by_event_time(written) if o.event_time else written, o, "lines", batch_id)
+        _write(lines.by_event_time(written).drop("stream") if o.event_time else written, o, "lines", batch_id)
         for name, summary in family.summarise(frames).items():
             _write(summary, o, f"summary/{name}", batch_id)
         for name, frame in frames.items():
