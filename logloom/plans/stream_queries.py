@@ -29,7 +29,7 @@ LOOKBACK = timedelta(days=32)
 READ = f"(SELECT * REPLACE (date_trunc('millisecond', ts) AS ts) FROM {s.WAF_ROWS} WHERE NOT ({s.WAF_BAD}))"
 
 
-#: Orders, and so object requests, lie between 1992 and 2004.
+#: Orders, and so object requests, lie between 1995 and 2001.
 OBJECT_NOW, OBJECT_LOOKBACK = datetime(2010, 1, 1, tzinfo=timezone.utc), timedelta(days=9125)
 
 

@@ -193,7 +193,7 @@ def test_unreadable_files_wait_and_heal(spark, scanner, write):
     with open(path, "wb") as f:
         f.write(good)
     os.remove(gone)
-    o = options(clock=lambda: NOW + timedelta(minutes=30))
+    o = options(clock=lambda: NOW + timedelta(minutes=31))
     run(o)
     assert ticks.ticks(spark, o).orderBy(F.desc("batch_id")).first()["result"] == "ok"
     assert ticks.read_table(spark, o, "retry").where("batch_id = 3").count() == 0
