@@ -33,7 +33,7 @@ READ = f"(SELECT * REPLACE (date_trunc('millisecond', ts) AS ts) FROM {s.WAF_ROW
 OBJECT_NOW, OBJECT_LOOKBACK = datetime(2010, 1, 1, tzinfo=timezone.utc), timedelta(days=9125)
 
 
-def scanned(t) -> ticks.Options:
+def _waf_scan(t) -> ticks.Options:
     """Write the rendered log as files, scan them two at a time, and return where the results lie."""
     o = _options(t, max_files=2, thresholds={"block_threshold": w.T})
     s.waf_text(t).repartition(4).select("line").write.option("compression", "gzip").text(o.source)
@@ -114,7 +114,7 @@ def _once(scan: Callable) -> Callable:
     return shared
 
 
-lb_scan, object_scan, waf_halves = _once(_lb_scan), _once(_object_scan), _once(_waf_halves)
+scanned, lb_scan, object_scan, waf_halves = _once(_waf_scan), _once(_lb_scan), _once(_object_scan), _once(_waf_halves)
 
 
 def _snapshot(t, family: families.Family, o: ticks.Options, *names: str) -> DataFrame:
