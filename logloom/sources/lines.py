@@ -142,6 +142,16 @@ def decode_contents(raw: DataFrame) -> DataFrame:
     return raw.select("path", "content").mapInPandas(decode_batches, CONTENT_SCHEMA + ", err string")
 
 
+def path_of(name: Column) -> Column:
+    """The path behind a scan's ``_metadata.file_path``, which is URL-encoded."""
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+
+def is_gzip(content: Column) -> Column:
+    """Whether text is in fact undecoded gzip data: the reader decompresses by name only."""
+    return F.substring(content.cast("binary"), 1, 2) == F.lit(b"\x1f\x8b")
+
+
 def lines_of(contents: DataFrame) -> DataFrame:
     """``(file, pos, line)`` of whole files, split in the task that holds them."""
     return clean(

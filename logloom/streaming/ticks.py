@@ -82,9 +82,14 @@ def start(spark: SparkSession, family: Family, o: Options) -> StreamingQuery:
     if o.max_files:
         reader = reader.option("maxFilesPerTrigger", o.max_files)
     if not o.strict_files:
-        stream = reader.format("binaryFile").schema(BINARY_SCHEMA).load(o.source)
-        stream = stream.where(family.keep(F.col("path"))).select("path", "content")
-        stream = stream.unionByName(_clock(spark, "path string, content binary"))
+        # Two sources on one folder: whole texts without the files that can't be read, and all names. A name without a
+        # text is a damaged file.
+        texts = reader.format("text").option("wholetext", True).option("ignoreCorruptFiles", True).load(o.source)
+        texts = texts.select(src.path_of(F.col("_metadata.file_path")).alias("file"), F.col("value").alias("content"))
+        names = reader.format("binaryFile").schema(BINARY_SCHEMA).load(o.source)
+        names = names.select(F.col("path").alias("file"), F.lit(None).cast("string").alias("content"))
+        stream = texts.unionByName(names).where(family.keep(F.col("file")))
+        stream = stream.unionByName(_clock(spark, "file string, content string"))
     else:
         stream = reader.format("text").option("wholetext", family.whole_files).load(o.source)
         stream = stream.select(F.col("_metadata.file_path").alias("file"), "value").where(family.keep(F.col("file")))
@@ -108,18 +113,51 @@ def _write(df: DataFrame, o: Options, name: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{_table(o, name)}/batch_id={batch_id}")
 
 
-def _parse(df: DataFrame, family: Family, o: Options, pending: DataFrame | None):
-    """Parsed records, unreadable files ``(file, err)`` and the files of the batch and of earlier failures."""
+def _arrived(df: DataFrame, o: Options, batch_id: int, kept: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """New texts ``(file, content)`` that can be read, and the names ``(file)`` of new files without one.
+
+    The two sources list the folder one after the other, so a file may reach one of them a batch earlier. Whichever
+    comes second finds the file among those seen; texts are only compared if there is such a file.
+    """
+    seen = read_table(df.sparkSession, o, "seen", SEEN_SCHEMA).where(F.col("batch_id") < batch_id).select("file").distinct()
+    df = df.withColumn("whole", F.col("content").isNotNull() & ~src.is_gzip(F.coalesce("content", F.lit("")))).persist()
+    kept.append(df)
+    texts = df.where("whole").select("file", "content")
+    names = df.where("NOT whole").select("file").distinct()
+    again = texts.select("file").join(seen, "file", "left_semi")
+    fresh = texts if again.isEmpty() else texts.join(seen, "file", "left_anti")
+    damaged = names.join(texts.select("file"), "file", "left_anti").join(seen, "file", "left_anti")
+    return fresh, damaged
+
+
+def _first_tries(damaged: DataFrame, waiting: DataFrame, there: DataFrame, now: datetime) -> DataFrame:
+    """Ledger rows of damaged files that are not in the ledger yet; they are due at once."""
+    new = damaged.join(waiting.select("file"), "file", "left_anti").join(there, "file")
+    return new.select(
+        "file", F.lit("corrupt gzip data").alias("err"), F.lit(0).alias("attempts"), F.lit(now).alias("first_seen"),
+        F.lit(now).alias("next_at"), "modified",
+    )
+
+
+def _parse(df: DataFrame, family: Family, o: Options, pending: DataFrame | None, kept: list[DataFrame]):
+    """Parsed records, unreadable files ``(file, err)`` and the files of the batch and of earlier failures.
+
+    Only ``pending`` files, which Spark's reader could not read, are decompressed in Python.
+    """
     if o.strict_files:
         unreadable = src.no_rows(df.sparkSession, "file string, err string")
         if family.whole_files:
             return family.parse(df.select("file", F.col("value").alias("content"))), unreadable, df.select("file")
         numbered = df.select("file", F.monotonically_increasing_id().alias("pos"), F.col("value").alias("line"))
         return family.parse(src.clean(numbered)), unreadable, df.select("file")
-    found = src.decode_contents(df if pending is None else df.unionByName(pending)).persist()
-    readable = found.where(F.col("err").isNull()).select("file", "content")
+    readable, unreadable, files = df.select("file", "content"), src.no_rows(df.sparkSession, "file string, err string"), df.select("file")
+    if pending is not None:
+        found = src.decode_contents(pending).persist()  # at most ``retry_files`` files
+        kept.append(found)
+        readable = readable.unionByName(found.where(F.col("err").isNull()).select("file", "content"))
+        unreadable, files = src.unreadable_of(found), files.unionByName(found.select("file"))
     parsed = family.parse(readable if family.whole_files else src.lines_of(readable))
-    return parsed, src.unreadable_of(found), found
+    return parsed, unreadable, files
 
 
 def run_tick(df: DataFrame, batch_id: int, family: Family, o: Options) -> None:
@@ -150,17 +188,20 @@ def _write_results(df: DataFrame, batch_id: int, family: Family, o: Options, now
     criteria = dict(o.criteria) | {"since": now - o.lookback, "until": now}
     waiting = pending_files(spark, o, batch_id)
     there = listing(spark, family, o)
-    due, later = _due(waiting, there, o, now)
-    again = _reread(spark, due)
-    if again is None and _last_before(spark, o, batch_id) is not None and df.isEmpty():
-        # A quiet tick adds nothing to any table but the ledgers and the snapshot.
-        _write(later, o, "retry", batch_id)
-        _write_skipped(spark, there, o, batch_id, now)
-        due.unpersist()
-        return 0, 0, 0, read_table(spark, o, "retry", RETRY_SCHEMA, [batch_id]).count(), src.no_rows(spark, SNAPSHOT_SCHEMA)
-    parts, unreadable, files = _parse(df, family, o, again)
-    kept: list[DataFrame] = [files, due]
+    kept: list[DataFrame] = []
     try:
+        if not o.strict_files:
+            df, damaged = _arrived(df, o, batch_id, kept)
+            waiting = waiting.unionByName(_first_tries(damaged, waiting, there, now))
+        due, later = _due(waiting, there, o, now)
+        kept.append(due)
+        again = _reread(spark, due)
+        if again is None and _last_before(spark, o, batch_id) is not None and df.isEmpty():
+            # A quiet tick adds nothing to any table but the ledgers and the snapshot.
+            _write(later, o, "retry", batch_id)
+            _write_skipped(spark, there, o, batch_id, now)
+            return 0, 0, 0, read_table(spark, o, "retry", RETRY_SCHEMA, [batch_id]).count(), src.no_rows(spark, SNAPSHOT_SCHEMA)
+        parts, unreadable, files = _parse(df, family, o, again, kept)
         frames: Frames = {}
         parsed: dict[str, src.Parsed] = {}
         for name, part in parts.items():

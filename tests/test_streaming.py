@@ -200,6 +200,35 @@ def test_unreadable_files_wait_and_heal(spark, scanner, write):
     assert values(spark, o, "vpc_flows_total", action="REJECT")[-1] == 1.0 and max(values(spark, o, "scan_errors_total")) == 6.0
 
 
+def test_only_damaged_files_are_decoded_in_python(spark, scanner, write, monkeypatch):
+    options, run = scanner
+    decoded, decode = [], ticks.src.decode_contents
+
+    def noted(raw):
+        decoded.append([r["path"].rpartition("/")[2] for r in raw.select("path").collect()])
+        return decode(raw)
+
+    monkeypatch.setattr(ticks.src, "decode_contents", noted)
+    o = options()
+    write(name("a+b%20c d"), flow_file(flow("198.51.100.7", 1)))
+    run(o)
+    assert decoded == []
+    # Plain text under a name that promises gzip: Spark's reader can't, the second reader can, within the tick.
+    plain = write(name(2), flow_file(flow("198.51.100.8", 2), flow("198.51.100.8", 3)).encode())
+    run(o)
+    assert decoded == [[os.path.basename(plain)]]
+    got = [(r["result"], r["objects"], r["records_read"]) for r in ticks.ticks(spark, o).orderBy("batch_id").collect()]
+    assert got == [("ok", 1, 1), ("ok", 1, 2)]
+    # A file that one of the two sources delivers a batch late is neither read twice nor taken for a damaged one.
+    old = {r["file"] for r in ticks.read_table(spark, o, "seen").collect()}
+    late = [(f, c) for f in old for c in ("text", None)] + [("new", "text"), ("new", None), ("cut", None)]
+    kept = []
+    fresh, damaged = ticks._arrived(spark.createDataFrame(late, "file string, content string"), o, 2, kept)
+    assert ([r["file"] for r in fresh.collect()], [r["file"] for r in damaged.collect()], len(old)) == (["new"], ["cut"], 2)
+    for k in kept:
+        k.unpersist()
+
+
 def test_ledger_meets_the_listing(spark, scanner):
     """Files whose pause is over or that have changed are due, the longest waiting first; files that are gone leave the ledger."""
     options, _ = scanner
