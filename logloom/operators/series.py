@@ -21,10 +21,16 @@ def _minute_number(ts: Column) -> Column:
     return F.floor(F.unix_seconds(ts.cast("timestamp")) / 60).cast("bigint")
 
 
-def grid(df: DataFrame, ts: str = "ts") -> DataFrame:
-    """Step and aligned bucket range of a time span, one row: the smallest step that fits."""
+def grid(parts: DataFrame) -> DataFrame:
+    """Step and aligned bucket range of minutes ``(minute, row)``, one row: the smallest step that fits.
+
+    The first and the last minute are taken as whole rows, so that this plan asks for the same folded table as
+    the buckets do and Spark shuffles it once for both; asked for the minute only, it would fold the log again.
+    """
     lo, hi = F.col("lo"), F.col("hi")
-    span = df.agg(_minute_number(F.min(ts)).alias("lo"), _minute_number(F.max(ts)).alias("hi"))
+    whole = F.struct("minute", "row")
+    ends = parts.agg(F.min(whole).alias("a"), F.max(whole).alias("b"))
+    span = ends.select(_minute_number(F.col("a.minute")).alias("lo"), _minute_number(F.col("b.minute")).alias("hi"))
 
     def fits(step: int) -> Column:
         return F.floor(hi / step) - F.floor(lo / step) + 1 <= MAX_BUCKETS
@@ -41,16 +47,25 @@ def grid(df: DataFrame, ts: str = "ts") -> DataFrame:
 
 
 def rebucket(df: DataFrame) -> DataFrame:
-    """Timeline in at most 288 aligned buckets from first to last record; empty buckets are kept.
+    """Timeline in at most 288 aligned buckets from first to last record; empty buckets are kept."""
+    return rebucket_minutes(lb.minute_timeline(df))
+
+
+def rebucket_minutes(parts: DataFrame) -> DataFrame:
+    """Buckets of a minute timeline, such as :func:`lb.minute_timeline` or a merged one of several scans.
 
-    The grid is a one-row subquery; the dense bucket list has at most 288 rows.
+    The grid is a one-row subquery over the same folded minutes; the dense bucket list has at most 288 rows.
     """
-    span = grid(df)
-    step = span.select("step").scalar()
-    parts = lb.minute_timeline(df)
+    # One value per minute, so that no chart's plan is pruned to fewer columns than the grid's.
+    whole = F.struct(*[c for c in parts.columns if c != "minute"])
+    minutes = parts.groupBy("minute").agg(F.any_value(whole).alias("row"))
+    span = grid(minutes).select(F.struct("step", "first", "last")).scalar()
+    step = span["step"]
     number = _minute_number(F.col("minute"))
-    merged = lb.merge_timeline(parts, F.floor(number / step) * step, "bucket_minute")
-    dense = span.select("step", F.explode(F.sequence("first", "last", "step")).alias("bucket_minute"))
+    # Never null, so the join below adds no filter on it that would set this fold of the minutes apart from the grid's.
+    merged = lb.merge_timeline(minutes.select("minute", "row.*"), F.coalesce(F.floor(number / step) * step, F.lit(0).cast("bigint")), "bucket_minute")
+    one = parts.sparkSession.range(1, numPartitions=1)
+    dense = one.select(step.alias("step"), F.explode(F.sequence(span["first"], span["last"], step)).alias("bucket_minute"))
     filled = dense.join(merged, "bucket_minute", "left")
     zero = [*lb.TIMELINE_SUMS, "target_time_count", "latency_count"]
     return filled.select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date, datetime
 
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from logloom.operators.filters import AuditFilter
 from logloom.plans import render
 from logloom.plans.fixtures import DERIVED
 from logloom.plans.registry import Query
+from logloom.session import shared_dir
 from logloom.sources import audit, flows, lb, lines, objects, scope, waf
 
 def _with_id(t, table: str, key: str, **more: str):
@@ -24,6 +26,20 @@ def lb_text(t):
     return render.lb_lines(_with_id(t, "lb_requests", "event_id"), "_event_id")
 
 
+def flow_folders(t) -> str:
+    """All flows as columnar files in Hive-style day folders of their delivery: every seventh comes a day late."""
+    delivered = F.expr("CASE WHEN src_port % 7 = 0 THEN start + INTERVAL 1 DAY ELSE start END")
+    stored = t.flows.select(
+        F.col("src_addr").alias("srcaddr"), F.col("dst_addr").alias("dstaddr"), F.col("src_port").alias("srcport"), F.col("dst_port").alias("dstport"),
+        "protocol", "packets", "bytes", F.unix_seconds(F.col("start").cast("timestamp")).alias("start"), "action", F.col("log_status").alias("log-status"),
+        F.lit("111122223333").alias("aws-account-id"), F.lit("us-east-1").alias("aws-region"),
+        *[F.date_format(delivered, f).alias(n) for n, f in (("year", "yyyy"), ("month", "MM"), ("day", "dd"))],
+    )
+    root = f"{shared_dir(t.spark)}/flows-{uuid.uuid4().hex}"
+    stored.repartition("year", "month", "day").write.partitionBy("aws-account-id", "aws-region", "year", "month", "day").parquet(root)
+    return root
+
+
 def conn_text(t):
     return render.conn_lines(_with_id(t, "lb_connections", "event_id"), "_event_id")
 
@@ -227,6 +243,13 @@ def queries() -> dict[str, Query]:
             ).select("src_addr", "dst_addr", "dst_port", "bytes", "start", "region", "action", "pkt_src_addr"),
             "SELECT src_addr, dst_addr, dst_port, bytes, start, 'us-east-1' AS region, action, pkt_src_addr FROM flows",
         ),
+        "src_25_window": Query(
+            lambda t: flows.read_flow_tables(t.spark, flow_folders(t), since=datetime(1996, 3, 1, 6), until=datetime(1996, 9, 1)).good.groupBy(
+                "account_id", "region", "action", "log_status", "protocol").agg(
+                F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.max("dst_port").alias("port"), F.min("start").alias("first"), F.max("start").alias("last")),
+            "SELECT '111122223333' AS account_id, 'us-east-1' AS region, action, log_status, protocol, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes, max(dst_port) AS port, "
+            "min(start) AS first, max(start) AS last FROM flows WHERE start >= TIMESTAMP '1996-03-01 06:00:00' AND start < TIMESTAMP '1996-09-01' GROUP BY ALL",
+        ),
         "src_26": Query(
             lambda t: waf.parse_waf(waf_text(t)).good.select(F.to_json(F.struct("*")).alias("j"))
             .unionByName(objects.parse_objects(object_text(t)).good.select(F.to_json(F.struct("*")).alias("j")))

@@ -8,8 +8,12 @@ those lines are shuffled.
 
 from __future__ import annotations
 
+import math
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType, TimestampType
 
 from logloom.functions import net
 from logloom.functions import text as x
@@ -185,24 +189,84 @@ def is_text_flow(path: Column) -> Column:
     return s.is_flow_file(path) & F.endswith(path, F.lit(".log.gz"))
 
 
+_WHOLE_TYPES = (ByteType, ShortType, IntegerType, LongType)
+
+
+def _stored_column(df: DataFrame, name: str) -> str | None:
+    """The stored column that holds ``name``: its header name in any spelling, or a Hive-style folder."""
+    have = {c.lower().replace("_", "-"): c for c in df.columns}
+    folders = {"account_id": "aws-account-id", "region": "aws-region"}
+    keys = (HEADER_NAMES[name], name.replace("_", "-"), folders.get(name, ""))
+    return next((have[k] for k in keys if k in have), None)
+
+
+def _typed_column(df: DataFrame, name: str) -> Column:
+    """A stored column in its canonical type; whole numbers and timestamps are never turned into text."""
+    stored = _stored_column(df, name)
+    if stored is None:
+        return _typed(name, F.lit(None).cast("string"))
+    c, kind = F.col(f"`{stored}`"), df.schema[stored].dataType
+    if isinstance(kind, _WHOLE_TYPES):
+        if name in _PORTS:
+            return F.when(c.between(0, 65535), c.cast("int"))
+        if name in _INTS:
+            return c.try_cast("int")
+        if name in _LONGS:
+            return c.cast("bigint")
+        if name in _TIMES:
+            return x.epoch_seconds(c.cast("bigint"))
+    if name in _TIMES and isinstance(kind, TimestampType):
+        return c
+    return _typed(name, F.nullif(c.cast("string"), F.lit("-")))
+
+
 def normalize_columns(df: DataFrame, *carried: Column) -> DataFrame:
     """Columnar flow logs and Hive-style partition columns under the canonical names and types, and ``carried`` columns."""
-    have = {c.lower().replace("_", "-"): c for c in df.columns}
-    partition_names = {"account_id": "aws-account-id", "region": "aws-region"}
-    out = []
-    for name, header in HEADER_NAMES.items():
-        source = have.get(header) or have.get(name.replace("_", "-")) or have.get(partition_names.get(name, ""))
-        value = F.lit(None).cast("string") if source is None else F.col(f"`{source}`").cast("string")
-        value = _typed(name, F.nullif(value, F.lit("-")))
-        out.append((F.coalesce(value, F.lit(0)) if name in _LONGS else value).alias(name))
+    values = {n: _typed_column(df, n) for n in HEADER_NAMES}
+    out = [(F.coalesce(v, F.lit(0).cast("bigint")) if n in _LONGS else v).alias(n) for n, v in values.items()]
     return df.select(*out, *carried)
 
 
-def read_flow_tables(spark: SparkSession, paths, base_path: str | None = None) -> Parsed:
-    """Columnar flow logs, with or without Hive-style folders."""
+def stored_window(df: DataFrame, since: datetime | None, until: datetime | None) -> Column:
+    """``since <= start < until`` in the stored columns, so that it prunes day folders, files and row groups.
+
+    Times are stored as whole seconds; as text they are compared after the cast. A file is delivered on the day of its
+    records or the next one, so the day folders reach one day beyond the window. Bounds without a zone are UTC.
+    """
+    stored = _stored_column(df, "start")
+    if stored is None or (since is None and until is None):
+        return F.lit(True) if since is None and until is None else F.lit(False)
+    at = [None if t is None else t.replace(tzinfo=t.tzinfo or timezone.utc) for t in (since, until)]
+    c, kind = F.col(f"`{stored}`"), df.schema[stored].dataType
+    if isinstance(kind, _WHOLE_TYPES):
+        ends = [None if t is None else F.lit(math.ceil(t.timestamp())).cast("bigint") for t in at]
+        c = c.cast("bigint") if not isinstance(kind, LongType) else c
+    else:
+        c, ends = _typed_column(df, "start"), [None if t is None else F.lit(t) for t in at]
+    inside = F.lit(True)
+    if ends[0] is not None:
+        inside = inside & (c >= ends[0])
+    if ends[1] is not None:
+        inside = inside & (c < ends[1])
+    if {"year", "month", "day"} <= set(df.columns):
+        day = F.make_date(*[F.col(p).cast("int") for p in ("year", "month", "day")])
+        if at[0] is not None:
+            inside = inside & (day >= F.lit(at[0].astimezone(timezone.utc).date()))
+        if at[1] is not None:
+            inside = inside & (day <= F.lit(at[1].astimezone(timezone.utc).date() + timedelta(days=1)))
+    return inside
+
+
+def read_flow_tables(
+    spark: SparkSession, paths, base_path: str | None = None, since: datetime | None = None, until: datetime | None = None,
+) -> Parsed:
+    """Columnar flow logs, with or without Hive-style folders; with a window, only its folders and row groups are read."""
     reader = spark.read if base_path is None else spark.read.option("basePath", base_path)
     wanted = [paths] if isinstance(paths, str) else list(paths)
-    good = normalize_columns(reader.parquet(*wanted), F.col("_metadata.file_path").alias("file"))
+    stored = reader.parquet(*wanted)
+    if since is not None or until is not None:
+        stored = stored.where(stored_window(stored, since, until))
+    good = normalize_columns(stored, F.col("_metadata.file_path").alias("file"))
     return Parsed(
         good, no_rows(spark, "file string, pos bigint, err string"), no_rows(spark, "file string, err string")
     )

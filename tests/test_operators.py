@@ -195,3 +195,26 @@ def test_byte_text(spark):
 def test_conform_adds_typed_nulls(spark):
     df = conform(spark.createDataFrame([("a",)], "action string"), "flows")
     assert df.schema["dst_port"].dataType.simpleString() == "int" and len(df.columns) == 28
+
+
+def test_buckets_and_their_grid_fold_the_log_once(spark, tmp_path):
+    path = str(tmp_path / "lb")
+    spark.range(5000).select(
+        (F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 97)).alias("ts"), F.lit("200").alias("elb_status"), F.lit("200").alias("target_status"),
+        F.lit("t").alias("target"), F.lit(None).cast("string").alias("error_reason"), *[F.lit(0.5).alias(c) for c in ("request_time", "target_time", "response_time", "latency")],
+    ).write.parquet(path)
+
+    def records_read():
+        gateway = spark.sparkContext._gateway
+        none = gateway.jvm.java.util.ArrayList()
+        stages = spark._jsc.sc().statusStore().stageList(none, False, False, gateway.new_array(gateway.jvm.double, 0), none)
+        return sum(stages.apply(i).inputRecords() for i in range(stages.size()) if "collect" in stages.apply(i).name())
+
+    before = records_read()
+    got = series.rebucket(spark.read.parquet(path)).collect()
+    assert sum(r["requests"] for r in got) == 5000 and {r["step_minutes"] for r in got} == {60}
+    assert records_read() - before == 5001  # and the one row that the buckets are unfolded from
+    before = records_read()
+    assert len(series.requests_chart(series.rebucket(spark.read.parquet(path))).collect()) == 2 * len(got)
+    assert records_read() - before == 5001
+    assert series.rebucket(spark.read.parquet(path).where("ts IS NULL")).count() == 0
