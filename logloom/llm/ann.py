@@ -174,15 +174,24 @@ def search(graphs: DataFrame, queries: DataFrame, k: int, width: int = BEAM, blo
                 vectors = np.frombuffer(t.vectors, np.float32).reshape(-1, t.dim)
                 edges = np.frombuffer(t.edges, np.int32).reshape(len(vectors), DEGREE)
                 points = np.array([np.asarray(v, np.float32) for v in t.query_vecs])
-                nodes, _ = beam_search(vectors, edges, np.asarray(t.starts), points, width)
-                out = []
-                for q, v, found in zip(t.query_ids, points.astype(np.float64), nodes):
-                    found = found[found >= 0]
-                    exact = np.sqrt(((vectors[found].astype(np.float64) - v) ** 2).sum(1))
-                    # Nearest first, and all nodes as near as the k-th: ties are broken by id, over all shards.
-                    order = np.argsort(exact, kind="stable")
-                    some = [(int(q), int(i), float(exact[o])) for o in order[: k + 1] for i in t.ids[found[o]] if i != q]
-                    out += sorted(some, key=lambda x: (x[2], x[1]))[:k]
+                out, asking, beam = [], np.arange(len(points)), width
+                while len(asking):
+                    nodes, _ = beam_search(vectors, edges, np.asarray(t.starts), points[asking], beam)
+                    wider = []
+                    for at, found in zip(asking, nodes):
+                        q, found = int(t.query_ids[at]), found[found >= 0]
+                        exact = np.sqrt(((vectors[found].astype(np.float64) - points[at].astype(np.float64)) ** 2).sum(1))
+                        # All nodes as near as the k-th other than the query's own: ties are broken by id, over all shards.
+                        own = np.array([all(i == q for i in t.ids[o]) for o in found], bool)
+                        others = np.sort(exact[~own])
+                        within = np.inf if len(others) < k else others[k - 1]
+                        if len(found) == beam < len(vectors) and exact.max() <= within:
+                            wider.append(at)  # more nodes may be as near
+                            continue
+                        near = np.flatnonzero(~own & (exact <= within))
+                        some = [(q, int(i), float(exact[o])) for o in near for i in t.ids[found[o]] if i != q]
+                        out += sorted(some, key=lambda x: (x[2], x[1]))[:k]
+                    asking, beam = np.array(wider, int), 2 * beam
                 yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     spread = tasks.repartition("shard", "block").select("dim", "ids", "starts", "vectors", "edges", "query_ids", "query_vecs")

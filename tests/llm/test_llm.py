@@ -226,6 +226,16 @@ def test_nearest_neighbours(spark):
     assert ann.nearest_neighbours(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_neighbours_at_one_distance_are_ordered_by_id(spark):
+    """More vectors lie at the tenth place's distance than an answer, and than a beam, holds; a clashing column does no harm."""
+    for ties, size in ((30, 32), (150, 160)):
+        rows = [(0, [1.0] * size)] + [(k, [1.0 + (j == k) for j in range(size)]) for k in range(ties, 0, -1)]
+        rows += [(500 + k, [1.0 + 0.5 * (j == k) for j in range(size)]) for k in range(1, 4)]
+        df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "vec_id long, embedding array<float>, shard int").repartition(2)
+        got = ann.nearest_neighbours(df, df.where("vec_id = 0"), 10).orderBy("rank").collect()
+        assert [r["vec_id"] for r in got] == [501, 502, 503, 1, 2, 3, 4, 5, 6, 7] and [r["score"] for r in got] == [0.5] * 3 + [1.0] * 7
+
+
 def test_lm_scoring(docs, empty):
     out = {r["doc_id"]: r for r in rows_of(lm_scoring.stupid_backoff(docs, size=50))}
     texts = [(r["doc_id"], (r["text"] or "").encode().lower().split()) for r in docs.collect()]
