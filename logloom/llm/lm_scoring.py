@@ -1,12 +1,11 @@
-"""LM scoring by stupid backoff, computed relationally.
-
-Words, word pairs and triples are 64-bit keys, counted over all documents in tables partitioned by the key: nothing is
-collected, and the tables grow with the corpus. Each document is exploded into its distinct n-grams with how often they
-occur; these meet their scores by one shuffle and are summed per document. With ``order`` 3,
-``S(w | u v) = c(u v w) / c(u v)`` if the triple occurs ``min_count`` times, else ``0.4 * S(w | v)``;
-``S(w | v) = c(v w) / c(v)`` if the pair occurs ``min_count`` times, else ``0.4 * c(w) / N``.
-
-With a ``size``, words are those of a vocabulary, the most frequent of the corpus; all others are one unknown word.
+"""LM scoring by stupid backoff, computed relationally: each document is scored by the counts of all the others.
+
+Words are 64-bit keys; words, pairs and triples are counted over all documents in tables partitioned by their words: nothing
+is collected, and the tables grow with the corpus. Each document is exploded into its distinct n-grams with how often it
+holds them and their parts itself; these rows meet the counts of the corpus by one shuffle, take their own share off, and are
+summed per document. With ``c`` the count that is left and ``order`` 3, ``S(w | u v) = c(u v w) / c(u v)`` if ``c(u v w)`` is
+``min_count`` or more, else ``0.4 * S(w | v)``; ``S(w | v) = c(v w) / c(v)`` if ``c(v w)`` is ``min_count`` or more, else
+``0.4 * c(w) / N``. A word that no other document holds counts as half an occurrence there, so that it scores below any other.
 """
 
 from __future__ import annotations
@@ -19,104 +18,93 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import GAP, ascii_lower, keep, text_or_empty
-from logloom.llm.near_dedup import _mixed
-
-BACKOFF, MIN_COUNT = 0.4, 2
-
+from logloom.llm.common import keep
 
-def vocabulary(docs: DataFrame, size: int, text: str = "text") -> DataFrame:
-    """(word, word_id, n) of the ``size`` most frequent words, ids from 1 by frequency, and of the unknown word: id 0, word null.
-
-    Counts are over all documents, summed before they are shuffled. Words are lower-cased in A-Z.
-    """
-    words = docs.select(F.explode(F.split(ascii_lower(text_or_empty(text)), GAP)).alias("word")).where("word <> ''")
-    counts = keep(words.groupBy("word").agg(F.count("*").alias("n")), "words")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    top = counts.orderBy(F.desc("n"), "word").limit(size).collect()
-    rows = [(r["word"], k, r["n"]) for k, r in enumerate(top, 1)]
-    return docs.sparkSession.createDataFrame([(None, 0, total - sum(r[2] for r in rows)), *rows], "word string, word_id int, n long")
+BACKOFF, MIN_COUNT, UNSEEN = 0.4, 1, 0.5
+#: In place of the word before the pair, where a pair is the longest n-gram.
+_NONE = 0
+_GRAMS = "u long, v long, w long, id long, times long, own_uv long, own_vw long, own_v long, own_w long, words long"
 
 
-def _keys(text: str | None, ids: dict[bytes, int] | None) -> np.ndarray:
+def _keys(text: str | None) -> np.ndarray:
     found = (text or "").encode("utf-8", "replace").lower().split()
-    keys = map(xxhash.xxh3_64_intdigest, found) if ids is None else (ids.get(w, 0) for w in found)
-    return np.fromiter(keys, np.uint64, len(found))
+    return np.maximum(np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found)), 1)
 
 
-def _grown(key: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The key of an n-gram with one more word at its end."""
-    return _mixed(key * np.uint64(0x9E3779B97F4A7C15) + _mixed(word + np.uint64(0xD1342543DE82EF95)))
+def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(1).to_pylist()
+        key, n = np.unique(np.concatenate([np.empty(0, np.uint64), *map(_keys, texts)]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["word", "n"])
 
 
-def _single(ids: dict[bytes, int] | None):
-    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            key, n = np.unique(np.concatenate([np.empty(0, np.uint64), *(_keys(t, ids) for t in texts)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["word", "n"])
-
-    return single
+def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each value's number among the distinct ones, and how often it occurs."""
+    _, number, times = np.unique(values, return_inverse=True, return_counts=True)
+    return number, times[number]
 
 
-def _grams(ids: dict[bytes, int] | None, order: int):
-    """Documents -> their distinct longest n-grams: gram, whether it is a triple, its first pair, its last pair and that pair's words."""
+def _grams(order: int):
+    """Documents -> their distinct longest n-grams, with the document's own counts of all their parts."""
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for doc, text in zip(*[c.to_pylist() for c in batch.columns]):
-                word = _keys(text, ids)
-                if len(word) < 2:
+                word = _keys(text)
+                size = len(word)
+                if size < 2:
                     continue
-                pair = _grown(word[:-1], word[1:])
-                gram, triple, first = pair.copy(), np.zeros(len(pair), bool), pair.copy()
+                number, own = _numbered(word)
+                pair, own_pair = _numbered(number[:-1] * size + number[1:])
+                # Row k is of the word k + 1; the first one has no word before its pair.
+                before, own_before = np.full(size - 1, _NONE, np.uint64), np.zeros(size - 1, np.int64)
+                gram = pair.copy()
                 if order > 2:
-                    gram[1:], triple[1:], first[1:] = _grown(pair[:-1], word[2:]), True, pair[:-1]
-                gram, at, times = np.unique(gram, return_index=True, return_counts=True)
-                numbers = [x.view(np.int64) for x in (gram, first[at], pair[at], word[at], word[at + 1])]
-                out.append((*numbers, triple[at], np.full(len(gram), doc), times))
+                    before[1:], own_before[1:] = word[:-2], own_pair[:-1]
+                    gram[1:] = size + pair[:-1] * size + number[2:]
+                _, at, times = np.unique(gram, return_index=True, return_counts=True)
+                keys = [x[at].view(np.int64) for x in (before, word[:-1], word[1:])]
+                owns = [x[at] for x in (own_before, own_pair, own[:-1], own[1:])]
+                out.append((*keys, np.full(len(at), doc), times, *owns, np.full(len(at), size)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["gram", "first", "pair", "v", "w", "triple", "id", "times"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], [c.split()[0] for c in _GRAMS.split(", ")])
 
     return grams
 
 
 def stupid_backoff(
-    docs: DataFrame, size: int | None = None, min_count: int = MIN_COUNT, backoff: float = BACKOFF, doc_id: str = "doc_id", text: str = "text",
-    order: int = 2,
+    docs: DataFrame, min_count: int = MIN_COUNT, backoff: float = BACKOFF, doc_id: str = "doc_id", text: str = "text", order: int = 3,
 ) -> DataFrame:
     """One row per document id: id, ``n_pairs`` (scored words, all but the first), ``log_score`` (sum of ln S), ``perplexity`` (exp of the negative mean).
 
-    Documents of fewer than two words, null and empty texts among them, have no pair, a sum of 0 and a null perplexity. Rows
-    that share an id are summed as one document; rows with a null id are counted, and scored as one. The second word of a
-    text has a pair only. Hot n-grams are counted before the shuffle and split in the joins.
+    Documents of fewer than two words, null and empty texts among them, have no pair, a sum of 0 and a null perplexity. Every
+    row is a document of its own, scored by all other rows: a repeated row is seen in its copy. Sums of rows that share
+    an id are added up, those of null ids too. The second word of a text has a pair only. Words are lower-cased in A-Z.
+    Hot n-grams are counted before the shuffle and split in the joins.
     """
-    ids = None
-    if size is not None:
-        # At most ``size`` + 1 rows, by the limit above.
-        ids = {r["word"].encode(): r["word_id"] for r in vocabulary(docs, size, text).collect() if r["word"] is not None}
     named = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     absent = F.lit(-(1 << 62)).cast("long")
     filled = named.select(F.coalesce("id", absent).alias("id"), "text")
-    exploded = filled.mapInArrow(_grams(ids, order), "gram long, first long, pair long, v long, w long, triple boolean, id long, times long")
-    words = keep(filled.mapInArrow(_single(ids), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    total = float(words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    grams = exploded.groupBy("gram").agg(F.sum("times").alias("n"), *[F.min(c).alias(c) for c in ("first", "pair", "v", "w", "triple")])
-    grams = keep(grams, "grams")
+    exploded = filled.mapInArrow(_grams(order), _GRAMS)
+    words = keep(filled.mapInArrow(_single, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    total = int(words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    grams = keep(exploded.groupBy("u", "v", "w").agg(F.sum("times").alias("n")), "grams")
     # Each scored word is of one longest n-gram, so these sum to all pairs.
-    pairs = grams.groupBy("pair").agg(F.sum("n").alias("n"), F.min("v").alias("v"), F.min("w").alias("w"))
-    after, alone = (words.select(F.col("word").alias(c), F.col("n").alias(f"{c}_n")) for c in "vw")
-    seen = F.when(F.col("n") >= min_count, F.log(F.col("n") / F.col("v_n"))).otherwise(F.log(F.lit(backoff) * F.col("w_n") / F.lit(total)))
-    pairs = keep(pairs.join(after, "v").join(alone, "w").select("pair", "n", seen.alias("s")), "pairs")
-    scores = grams.select("gram", "n", "first", "pair", "triple").join(pairs.select("pair", F.col("s").alias("lower")), "pair")
-    if order > 2:
-        scores = scores.join(pairs.select(F.col("pair").alias("first"), F.col("n").alias("first_n")), "first")
-        longest = F.when(F.col("n") >= min_count, F.log(F.col("n") / F.col("first_n"))).otherwise(F.log(F.lit(backoff)) + F.col("lower"))
-        scores = scores.select("gram", F.when(F.col("triple"), longest).otherwise(F.col("lower")).alias("s"))
-    else:
-        scores = scores.select("gram", F.col("lower").alias("s"))
-    scored = exploded.select("gram", "id", "times").join(keep(scores, "scores"), "gram")
+    pairs = grams.groupBy("v", "w").agg(F.sum("n").alias("n_vw"))
+    after, alone = (words.select(F.col("word").alias(c), F.col("n").alias(f"n_{c}")) for c in "vw")
+    pairs = keep(pairs.join(after, "v").join(alone, "w"), "pairs")
+    before = pairs.select(F.col("v").alias("u"), F.col("w").alias("v"), F.col("n_vw").alias("n_uv"))
+    counts = grams.join(pairs, ["v", "w"]).join(before, ["u", "v"], "left") if order > 2 else grams.join(pairs, ["v", "w"]).withColumn("n_uv", F.lit(0))
+    met = exploded.join(keep(counts, "counts"), ["u", "v", "w"])
+
+    def left(count: str, own: str):
+        return F.col(count) - F.col(own)
+
+    one = F.greatest(left("n_w", "own_w"), F.lit(UNSEEN)) / F.greatest(F.lit(total) - F.col("words"), F.lit(1))
+    two = F.when(left("n_vw", "own_vw") >= min_count, left("n_vw", "own_vw") / left("n_v", "own_v")).otherwise(backoff * one)
+    three = F.when(left("n", "times") >= min_count, left("n", "times") / left("n_uv", "own_uv")).otherwise(backoff * two)
+    scored = met.select("id", "times", F.log(F.when(F.col("u") == _NONE, two).otherwise(three)).alias("s"))
     summed = scored.groupBy("id").agg(F.sum("times").alias("n_pairs"), F.sum(F.col("times") * F.col("s")).alias("log_score"))
     everyone = named.select(F.coalesce("id", absent).alias("id")).distinct()
     out = everyone.join(summed, "id", "left")

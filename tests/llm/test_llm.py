@@ -236,18 +236,37 @@ def test_neighbours_at_one_distance_are_ordered_by_id(spark):
         assert [r["vec_id"] for r in got] == [501, 502, 503, 1, 2, 3, 4, 5, 6, 7] and [r["score"] for r in got] == [0.5] * 3 + [1.0] * 7
 
 
-def test_lm_scoring(docs, empty):
-    out = {r["doc_id"]: r for r in rows_of(lm_scoring.stupid_backoff(docs, size=50))}
-    texts = [(r["doc_id"], (r["text"] or "").encode().lower().split()) for r in docs.collect()]
-    n = Counter(w for _, t in texts for w in t)
-    known = {w for w, _ in sorted(n.items(), key=lambda x: (-x[1], x[0]))[:50]}
-    texts = [(i, [w if w in known else None for w in t]) for i, t in texts]
-    one, two = Counter(w for _, t in texts for w in t), Counter(p for _, t in texts for p in zip(t, t[1:]))
-    score, pairs = Counter(), Counter()
+def plain_backoff(texts, order=3, min_count=1):
+    """Sums and scored words per id, the branches taken, by counts with each row's own taken off."""
+    count = lambda rows, n: Counter(g for t in rows for g in zip(*(t[k:] for k in range(n))))
+    everything = [count([t for _, t in texts], n) for n in (1, 2, 3)]
+    score, pairs, branches = Counter(), Counter(), Counter()
     for i, t in texts:
-        for v, w in zip(t, t[1:]):
-            score[i] += np.log(two[v, w] / one[v] if two[v, w] >= 2 else 0.4 * one[w] / sum(one.values()))
+        one, two, three = ({g: everything[n - 1][g] - c for g, c in count([t], n).items()} for n in (1, 2, 3))
+        total = sum(everything[0].values()) - len(t)
+        for k in range(1, len(t)):
+            grams, s = [(three, two, t[k - 2 : k + 1])] if order > 2 and k > 1 else [], 1.0
+            for table, context, gram in [*grams, (two, one, t[k - 1 : k + 1]), (None, None, t[k : k + 1])]:
+                gram = tuple(gram)
+                if table is None:
+                    s *= max(one[gram], 0.5) / max(total, 1)
+                elif table[gram] >= min_count:
+                    s *= table[gram] / context[gram[:-1]]
+                else:
+                    s *= 0.4
+                    continue
+                branches[len(gram), one[gram[-1:]] > 0] += 1
+                break
+            score[i] += np.log(s)
             pairs[i] += 1
+    return score, pairs, branches
+
+
+@pytest.mark.parametrize("order, min_count", [(3, 1), (3, 2), (2, 1)])
+def test_lm_scoring(docs, empty, order, min_count):
+    out = {r["doc_id"]: r for r in rows_of(lm_scoring.stupid_backoff(docs, min_count, order=order))}
+    texts = [(r["doc_id"], (r["text"] or "").encode().lower().split()) for r in docs.collect()]
+    score, pairs, _ = plain_backoff(texts, order, min_count)
     for i, r in out.items():
         assert r["n_pairs"] == pairs[i] and r["log_score"] == pytest.approx(score[i]) and (r["perplexity"] is None) == (pairs[i] == 0)
     assert set(out) == {i for i, _ in texts} and lm_scoring.stupid_backoff(empty).count() == 0
@@ -255,17 +274,16 @@ def test_lm_scoring(docs, empty):
 
 def test_lm_scoring_counts_every_word(spark, tmp_path):
     rng = random.Random(6)
-    # More distinct words than any fixed vocabulary: half of them rare.
-    texts = [[f"r{k}_{p}" if rng.random() < 0.5 else f"c{rng.randrange(20)}" for p in range(200)] for k in range(400)] + [["lone"], ["r0_1", "r0_1"]]
+    # More distinct words than any fixed vocabulary: half of them rare. The last but three is made of words seen nowhere else.
+    texts = [[f"r{k}_{p}" if rng.random() < 0.5 else f"c{rng.randrange(20)}" for p in range(200)] for k in range(400)]
+    texts += [[f"x{p}" for p in range(8)], ["lone"], ["r0_1", "r0_1"], ["c1", "c2", "c3"] * 50]
     spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    one, two, three = (Counter(g for t in texts for g in zip(*(t[k:] for k in range(n)))) for n in (1, 2, 3))
-    assert len(one) > 30_000
+    score, pairs, branches = plain_backoff(list(enumerate(texts)))
+    assert {(3, True), (2, True), (1, True), (1, False)} <= set(branches)
     out = {r["doc_id"]: r for r in rows_of(llm_queries.op8_lm_scoring(spark, str(tmp_path)))}
     assert set(out) == set(range(len(texts)))
-    for k, t in enumerate(texts):
-        pair = np.log(two[t[0], t[1]] / one[(t[0],)]) if len(t) > 1 else 0.0
-        rest = sum(np.log(three[g] / two[g[:2]]) for g in zip(t, t[1:], t[2:]))
-        assert out[k]["n_pairs"] == len(t) - 1 and out[k]["log_score"] == pytest.approx(pair + rest)
+    assert all(r["n_pairs"] == pairs[k] and r["log_score"] == pytest.approx(score[k]) for k, r in out.items())
+    assert max((r["perplexity"], k) for k, r in out.items() if r["perplexity"] is not None)[1] == 400
 
 
 def test_bpe(docs, empty):
