@@ -174,9 +174,9 @@ def flow_files(rows: DataFrame) -> DataFrame:
 
 
 def flow_lines(rows: DataFrame) -> DataFrame:
-    """The same files line by line, header first."""
+    """The same files line by line as a scan gives them: a file's lines in one task, header first."""
     heads = rows.where(F.col("header").isNotNull()).select("file", F.lit(-1).cast("bigint").alias("pos"), F.col("header").alias("line"))
-    return rows.select("file", "pos", "line").unionByName(heads.distinct())
+    return rows.select("file", "pos", "line").unionByName(heads.distinct()).repartition("file").sortWithinPartitions("file", "pos")
 
 
 def audit_files(df: DataFrame, file_no: str) -> DataFrame:

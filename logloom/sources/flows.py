@@ -1,16 +1,19 @@
 """Network-flow logs: each file's first line names its columns.
 
-Delivered files are gzip members of bounded size, so a file is read as one row
-and its own header travels with its lines: no join and no shuffle. A file over
-``MAX_WHOLE_FILE`` is read line by line instead and joined to its header; only
-those lines are shuffled.
+A gzip file is read by one task from its first line on, so the task remembers
+the header and gives it on with every block of lines: files of any size take no
+join, no shuffle and no row that holds a whole file.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType, TimestampType
@@ -19,11 +22,9 @@ from logloom.functions import net
 from logloom.functions import text as x
 from logloom.sources import scope as s
 from logloom.sources.lines import (
-    LINE_SCHEMA, Parsed, load_text, clean, no_rows, parsed, salvage_contents, unreadable_of,
+    Parsed, read_lines, no_rows, parsed, salvage_contents, unreadable_of,
 )
 
-MAX_WHOLE_FILE = 64 << 20
-
 # Header name of each column.
 HEADER_NAMES = {
     "version": "version", "account_id": "account-id", "interface_id": "interface-id", "src_addr": "srcaddr",
@@ -134,55 +135,68 @@ def _with_header(headed: DataFrame) -> DataFrame:
     )
 
 
-def parse_flow_files(contents: DataFrame) -> Parsed:
-    """Whole files ``(file, content)`` to flows."""
-    lines = F.filter(F.split("content", "[\r\n]+"), lambda v: F.trim(v) != "")
-    files = _with_header(
-        contents.select("file", lines.alias("lines")).select(
-            "file", F.get(F.col("lines"), F.lit(0)).alias("header"), F.slice("lines", 2, 2**31 - 1).alias("lines")
-        )
-    )
+def _blocks(lines: DataFrame) -> DataFrame:
+    """Lines ``(file, line)``, each file's in order within one partition, to blocks ``(file, first, at, header, lines)``.
+
+    A block is at most an Arrow batch of one file's lines and the file's header; ``at`` numbers its first line. The
+    ``first`` block of a file may be empty. The task function is local, so it travels to the executors by value.
+    """
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, header, at = None, None, 0
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            names, text = batch.column(0), batch.column(1).cast(pa.string())
+            moved = pc.not_equal(names.slice(1), names.slice(0, len(names) - 1))
+            cuts = [0, *(np.flatnonzero(moved.to_numpy(zero_copy_only=False)) + 1).tolist(), len(names)]
+            rows, values = [], []
+            for start, end in zip(cuts, cuts[1:]):
+                first = names[start].as_py() != file
+                if first:
+                    file, header, at, start = names[start].as_py(), text[start].as_py(), 0, start + 1
+                rows.append((file, first, at, header))
+                values.append(text.slice(start, end - start))
+                at += end - start
+            offsets = np.cumsum([0, *map(len, values)], dtype=np.int32)
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.bool_(), pa.int64(), pa.string()))]
+            columns.append(pa.ListArray.from_arrays(offsets, pa.concat_arrays(values)))
+            yield pa.RecordBatch.from_arrays(columns, ["file", "first", "at", "header", "lines"])
+
+    return lines.select("file", "line").mapInArrow(blocks, "file string, first boolean, at bigint, header string, lines array<string>")
+
+
+def _parse_blocks(blocks: DataFrame) -> Parsed:
+    headed = _with_header(blocks)
     usable = F.when(F.col("header_err").isNull(), F.col("lines"))
-    rows = files.select("file", "n_names", "places", F.posexplode(usable).alias("pos", "line")).select("file", F.col("pos").cast("bigint").alias("pos"), "line", "n_names", "places")
-    unreadable = files.where(F.col("header_err").isNotNull()).select("file", F.col("header_err").alias("err"))
+    rows = headed.select("file", "n_names", "places", "at", F.posexplode(usable).alias("k", "line")).select(
+        "file", (F.col("at") + F.col("k")).alias("pos"), "line", "n_names", "places"
+    )
+    unreadable = headed.where(F.col("first") & F.col("header_err").isNotNull()).select("file", F.col("header_err").alias("err"))
     return parse_flow_rows(rows, unreadable)
 
 
-def parse_flow_lines(lines: DataFrame) -> Parsed:
-    """Lines ``(file, pos, line)`` of large files to flows: the first line of each file is its header."""
-    first = lines.groupBy("file").agg(F.min("pos").alias("first"), F.min_by("line", "pos").alias("header"))
-    headers = _with_header(first)
-    places = headers.where(F.col("header_err").isNull()).select("file", "first", "n_names", "places")
-    rows = lines.join(places, "file").where(F.col("pos") != F.col("first")).drop("first")
-    unreadable = headers.where(F.col("header_err").isNotNull()).select("file", F.col("header_err").alias("err"))
-    return parse_flow_rows(rows, unreadable)
+def parse_flow_files(contents: DataFrame) -> Parsed:
+    """Whole files ``(file, content)`` to flows, each file one block."""
+    lines = F.filter(F.split("content", "[\r\n]+"), lambda v: F.trim(v) != "")
+    return _parse_blocks(contents.select("file", lines.alias("lines")).select(
+        "file", F.lit(True).alias("first"), F.lit(0).cast("bigint").alias("at"), F.get(F.col("lines"), F.lit(0)).alias("header"),
+        F.slice("lines", 2, 2**31 - 1).alias("lines"),
+    ))
 
 
-def _union(a: Parsed, b: Parsed) -> Parsed:
-    return Parsed(a.good.unionByName(b.good), a.bad.unionByName(b.bad), a.unreadable.unionByName(b.unreadable))
+def parse_flow_lines(lines: DataFrame) -> Parsed:
+    """Lines ``(file, line)`` as a scan of gzip files gives them: each file's in order within one partition, its header first."""
+    return _parse_blocks(_blocks(lines))
 
 
-def read_flows(spark: SparkSession, paths, strict_files: bool = True, max_whole_file: int = MAX_WHOLE_FILE) -> Parsed:
-    """Flows of text files with their own headers."""
-    if not strict_files:
-        found = salvage_contents(spark, paths, is_text_flow)
-        out = parse_flow_files(found.where(F.col("err").isNull()).select("file", "content"))
-        return Parsed(out.good, out.bad, out.unreadable.unionByName(unreadable_of(found)))
-    size = F.col("_metadata.file_size")
-    whole = load_text(
-        spark, paths, lambda p: is_text_flow(p) & (size <= max_whole_file),
-        [F.col("_metadata.file_path").alias("file"), F.col("value").alias("content")],
-        "file string, content string", wholetext=True,
-    )
-    large = load_text(
-        spark, paths, lambda p: is_text_flow(p) & (size > max_whole_file),
-        [
-            F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("pos"),
-            F.col("value").alias("line"),
-        ],
-        LINE_SCHEMA,
-    )
-    return _union(parse_flow_files(whole), parse_flow_lines(clean(large)))
+def read_flows(spark: SparkSession, paths, strict_files: bool = True) -> Parsed:
+    """Flows of text files with their own headers, of any size."""
+    if strict_files:
+        return parse_flow_lines(read_lines(spark, paths, is_text_flow))
+    found = salvage_contents(spark, paths, is_text_flow)
+    out = parse_flow_files(found.where(F.col("err").isNull()).select("file", "content"))
+    return Parsed(out.good, out.bad, out.unreadable.unionByName(unreadable_of(found)))
 
 
 def is_text_flow(path: Column) -> Column:
