@@ -32,14 +32,33 @@ def flow_folders(t) -> str:
     stored = t.flows.select(
         F.col("src_addr").alias("srcaddr"), F.col("dst_addr").alias("dstaddr"), F.col("src_port").alias("srcport"), F.col("dst_port").alias("dstport"),
         "protocol", "packets", "bytes", F.unix_seconds(F.col("start").cast("timestamp")).alias("start"), "action", F.col("log_status").alias("log-status"),
-        F.lit("111122223333").alias("aws-account-id"), F.lit("us-east-1").alias("aws-region"),
+        F.lit("111122223333").alias("aws-account-id"), F.lit(scope.FLOWS).alias("aws-service"), F.lit("us-east-1").alias("aws-region"),
         *[F.date_format(delivered, f).alias(n) for n, f in (("year", "yyyy"), ("month", "MM"), ("day", "dd"))],
     )
     root = f"{shared_dir(t.spark)}/flows-{uuid.uuid4().hex}"
-    stored.repartition("year", "month", "day").write.partitionBy("aws-account-id", "aws-region", "year", "month", "day").parquet(root)
+    folders = ("aws-account-id", "aws-service", "aws-region", "year", "month", "day")
+    stored.repartition("year", "month", "day").write.partitionBy(*folders).parquet(f"{root}/AWSLogs")
     return root
 
 
+def late_flows(t, since: datetime, until: datetime):
+    """Flows of a window, from its delivery days and the one after them only, trimmed by record time."""
+    root, day = flow_folders(t), scope.Scope(accounts=("111122223333",), regions=("us-east-1",), start=since.date(), end=since.date())
+    folders = scope.hive_glob(root, scope.window_scope(day, since, until))
+    log = flows.read_flow_tables(t.spark, folders, base_path=f"{root}/AWSLogs", since=since, until=until)
+    return log.good.groupBy("src_addr").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("start").alias("first"), F.max("start").alias("last"))
+
+
+def flat_objects(t, start: date, end: date):
+    """Object records of some days in the flat layout: names that start with a prefix and the day."""
+    root = f"{shared_dir(t.spark)}/objects-{uuid.uuid4().hex}"
+    day = F.to_date(F.regexp_extract("line", r"\[(\d\d/\w{3}/\d{4})", 1), "dd/MMM/yyyy")
+    text = object_text(t).select(F.date_format(day, "yyyy-MM-dd-'00'").alias("access"), F.col("line").alias("value"))
+    text.repartition("access").write.partitionBy("access").text(root)
+    days = scope.flat_glob(root, "access=", scope.Scope(accounts=("111122223333",), regions=("us-east-1",), start=start, end=end))
+    return objects.parse_objects(lines.read_lines(t.spark, days)).good.select("ts", "bucket", "key", "operation", "status", "requester", "bytes_sent")
+
+
 def conn_text(t):
     return render.conn_lines(_with_id(t, "lb_connections", "event_id"), "_event_id")
 
@@ -274,6 +293,16 @@ def queries() -> dict[str, Query]:
             lambda t: AuditFilter(since=datetime(1995, 1, 1, 6), until=datetime(1995, 6, 1)).apply(audit.parse_audit(audit_text(t)).good).select("event_id", "event_time"),
             f"SELECT event_id, date_trunc('second', event_time) AS event_time FROM {AUDIT_ROWS} WHERE file_no % 10 <> 3 AND event_time >= TIMESTAMP '1995-01-01 06:00:00' AND event_time < TIMESTAMP '1995-06-01'",
         ),
+        "src_02_delivery": Query(
+            lambda t: late_flows(t, datetime(1996, 3, 1, 6), datetime(1996, 4, 20)),
+            "SELECT src_addr, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes, min(start) AS first, max(start) AS last FROM flows "
+            "WHERE start >= TIMESTAMP '1996-03-01 06:00:00' AND start < TIMESTAMP '1996-04-20' GROUP BY 1",
+        ),
+        "src_04": Query(
+            lambda t: flat_objects(t, date(1995, 2, 1), date(1995, 4, 30)),
+            "SELECT date_trunc('second', ts) AS ts, bucket, key, operation, status, requester, bytes_sent "
+            f"FROM {OBJECT_ROWS} WHERE o_orderkey % 50 <> 3 AND ts >= TIMESTAMP '1995-02-01' AND ts < TIMESTAMP '1995-05-01'",
+        ),
         "prj_21_28": Query(
             lambda t: waf.parse_waf(waf_text(t)).good.groupBy(
                 "web_acl", "rule", "rule_group", F.array_join("labels", ",").alias("labels"), F.array_join("count_rules", ",").alias("count_rules"), "rate_rule", "challenge_failed",
