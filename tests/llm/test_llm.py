@@ -196,6 +196,43 @@ def test_compact_windows():
                 assert any(a <= lo and hi <= b and h[p] == h[lo:hi].min() for a, p, b in found)
 
 
+def test_longest_stretch():
+    rng = np.random.default_rng(1)
+    for n in range(60):
+        inside = rng.random(n) < 0.5 + 0.5 * rng.random()
+        value = np.where(inside, 1, -substring_dedup.MISS)
+        spans = [(a, b) for a in range(n) for b in range(a + 1, n + 1) if value[a:b].sum() >= 0]
+        a, b = max(spans, key=lambda s: (s[1] - s[0], -s[0]), default=(0, 0))
+        while a < b and not (inside[a] and inside[b - 1]):
+            a, b = a + (not inside[a]), b - (not inside[b - 1])
+        got = substring_dedup.longest_stretch(inside)
+        assert got == (a, b) or got[0] == got[1] and a >= b
+
+
+@pytest.mark.parametrize("edit", ["replaced", "inserted", "deleted"])
+def test_substring_dedup_finds_edited_passages(spark, edit):
+    rng = random.Random(edit)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    around = lambda: [word() for _ in range(80)]
+    rows, planted = [], {}
+    for n in (60, 75, 90):
+        for k in range(20):
+            passage = [word() for _ in range(n)]
+            other, at = list(passage), n // 2 if k % 2 else rng.randrange(10, n - 10)
+            other[at : at + (edit != "inserted")] = [] if edit == "deleted" else [word()]
+            for p in (passage, other):
+                rows.append((len(rows), " ".join(around() + p + around())))
+            planted[len(rows) - 1] = (len(rows) - 2, n)
+    # Documents that share less: 40 words, and 60 words with every tenth one changed.
+    passage = [word() for _ in range(60)]
+    for p in (passage[:40], [word() if k % 10 == 9 else w for k, w in enumerate(passage)]):
+        rows.append((len(rows), " ".join(around() + p + around())))
+    got = rows_of(substring_dedup.shared_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    assert all(planted.get(r["doc_id"], (None,))[0] == r["match_id"] and r["percent"] >= 80 for r in got)
+    # Where a changed shingle is a minimum, the windows of that hash function end there: three functions may all be hit.
+    assert len({r["doc_id"] for r in got}) >= 0.95 * len(planted)
+
+
 def test_substring_dedup(docs, empty):
     got = rows_of(substring_dedup.shared_passages(docs))
     # Document 4 ends with the first 70 words of document 0.
