@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import gzip
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.errors import AnalysisException
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -161,6 +164,111 @@ def lines_of(contents: DataFrame) -> DataFrame:
     )
 
 
+def literal(paths: list[str]) -> list[str]:
+    """Listed paths for a reader, which takes names for patterns."""
+    return [re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in paths]
+
+
+def lines_of_files(spark: SparkSession, paths: list[str], strict: bool = False) -> DataFrame:
+    """``(file, pos, line)`` of listed files as Spark's reader streams them, also from gzip; no row holds a file.
+
+    Unless ``strict``, a damaged file gives the lines before the damage.
+    """
+    if not paths:
+        return no_rows(spark, LINE_SCHEMA)
+    options = {"recursiveFileLookup": True, "lineSep": "\n", "ignoreCorruptFiles": not strict}
+    return spark.read.options(**options).text(literal(paths)).select(
+        path_of(F.col("_metadata.file_path")).alias("file"), F.monotonically_increasing_id().alias("pos"), F.col("value").alias("line"))
+
+
+def whole_files(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The listed files that Spark's line reader reads from end to end and whose text is no undecoded gzip data.
+
+    A strict pass over the lines settles it in the usual case. Only if that one meets a damaged file, the files'
+    lines are counted by both readers, and files they agree on are whole.
+    """
+    if not paths:
+        return []
+    undecoded = F.min_by(is_gzip(F.col("line")), "pos").alias("undecoded")
+    try:
+        found = lines_of_files(spark, paths, strict=True).groupBy("file").agg(undecoded).where("undecoded")
+        other = {r["file"] for r in found.collect()}
+    except (PySparkException, Py4JJavaError) as e:
+        if "FAILED_READ_FILE" not in str(e):
+            raise
+        read = lines_of_files(spark, paths).groupBy("file").agg(undecoded, F.count("*").alias("read"))
+        there = count_lines(spark.read.format("binaryFile").load(literal(paths))).join(read, "file", "left")
+        agree = F.col("err").isNull() & (F.col("n") == F.coalesce("read", F.lit(0))) & ~F.coalesce("undecoded", F.lit(False))
+        other = {r["file"] for r in there.where(~agree).select("file").collect()}
+    return [p for p in paths if p not in other]
+
+
+def _line_tasks() -> tuple[Callable, Callable]:
+    """Task functions for ``(path, content)`` of ``binaryFile``: a file's lines, and how many it has or why it can't be read.
+
+    A file's text is decompressed in pieces, so only its stored bytes are in memory. The functions are local, so they
+    travel to the executors by value.
+    """
+
+    def pieces(data: pa.Buffer) -> Iterator[bytes]:
+        stream = pa.BufferReader(data)
+        if data.size >= 2 and data[:2].to_pybytes() == b"\x1f\x8b":
+            stream = gzip.GzipFile(fileobj=stream)
+        while piece := stream.read(1 << 20):
+            yield piece
+
+    def count(data: pa.Buffer) -> tuple[int, str | None]:
+        n, last = 0, b"\n"
+        try:
+            for piece in pieces(data):
+                n, last = n + piece.count(b"\n"), piece[-1:]
+        except (OSError, EOFError, zlib.error):
+            return 0, "corrupt gzip data"
+        return n + (last != b"\n"), None
+
+    def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Buffer]]:
+        for batch in batches:
+            for path, content in zip(batch.column(0), batch.column(1)):
+                yield path.as_py(), content.as_buffer()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path, data in stored(batches):
+            n, err = count(data)
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64()), pa.array([err], pa.string())], ["file", "n", "err"])
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(path: str, at: int, text: bytes) -> pa.RecordBatch:
+            found = text.decode("utf-8", errors="replace").split("\n")
+            columns = [pa.array([path] * len(found)), pa.array(range(at, at + len(found)), pa.int64()), pa.array(found, pa.string())]
+            return pa.RecordBatch.from_arrays(columns, ["file", "pos", "line"])
+
+        for path, data in stored(batches):
+            if count(data)[1] is not None:
+                continue  # no line of a damaged file
+            at, begun = 0, []
+            for piece in pieces(data):
+                head, cut, tail = piece.rpartition(b"\n")
+                if cut:
+                    batch = batch_of(path, at, b"".join([*begun, head]))
+                    yield batch
+                    at, begun = at + batch.num_rows, []
+                begun.append(tail)
+            if rest := b"".join(begun):
+                yield batch_of(path, at, rest)
+
+    return counted, lines
+
+
+def count_lines(raw: DataFrame) -> DataFrame:
+    """``(file, n, err)`` of ``binaryFile`` rows: the lines of a file that can be read, or the error."""
+    return raw.select("path", "content").mapInArrow(_line_tasks()[0], "file string, n bigint, err string")
+
+
+def decode_lines(raw: DataFrame) -> DataFrame:
+    """``(file, pos, line)`` of ``binaryFile`` rows that can be read to their end; others give no line."""
+    return raw.select("path", "content").mapInArrow(_line_tasks()[1], LINE_SCHEMA)
+
+
 def unreadable_of(contents: DataFrame) -> DataFrame:
     return contents.where(F.col("err").isNotNull()).select("file", "err")
 

@@ -81,7 +81,11 @@ def start(spark: SparkSession, family: Family, o: Options) -> StreamingQuery:
     reader = spark.readStream.option("maxFileAge", f"{age}s").option("recursiveFileLookup", True)
     if o.max_files:
         reader = reader.option("maxFilesPerTrigger", o.max_files)
-    if not o.strict_files:
+    if not o.strict_files and not family.whole_files:
+        # Names only: the tick has Spark read the files line by line, so that no row holds a file.
+        stream = reader.format("binaryFile").schema(BINARY_SCHEMA).load(o.source).select(F.col("path").alias("file"))
+        stream = stream.where(family.keep(F.col("file"))).unionByName(_clock(spark, "file string"))
+    elif not o.strict_files:
         # Two sources on one folder: whole texts without the files that can't be read, and all names. A name without a
         # text is a damaged file.
         texts = reader.format("text").option("wholetext", True).option("ignoreCorruptFiles", True).load(o.source)
@@ -130,6 +134,16 @@ def _arrived(df: DataFrame, o: Options, batch_id: int, kept: list[DataFrame]) ->
     return fresh, damaged
 
 
+def _arrived_files(df: DataFrame, there: DataFrame, o: Options, batch_id: int) -> tuple[DataFrame, DataFrame]:
+    """Names ``(file)`` of new files that Spark's reader streams from end to end, and of the other new ones."""
+    spark = df.sparkSession
+    seen = read_table(spark, o, "seen", SEEN_SCHEMA).where(F.col("batch_id") < batch_id).select("file")
+    new = df.select("file").distinct().join(there.select("file"), "file", "left_semi").join(seen, "file", "left_anti")
+    paths = [r["file"] for r in new.collect()]  # the source has them on the driver too
+    whole = set(src.whole_files(spark, paths))
+    return tuple(spark.createDataFrame([(p,) for p in paths if (p in whole) == kept], "file string") for kept in (True, False))
+
+
 def _first_tries(damaged: DataFrame, waiting: DataFrame, there: DataFrame, now: datetime) -> DataFrame:
     """Ledger rows of damaged files that are not in the ledger yet; they are due at once."""
     new = damaged.join(waiting.select("file"), "file", "left_anti").join(there, "file")
@@ -144,6 +158,8 @@ def _parse(df: DataFrame, family: Family, o: Options, pending: DataFrame | None,
 
     Only ``pending`` files, which Spark's reader could not read, are decompressed in Python.
     """
+    if not o.strict_files and not family.whole_files:
+        return _parse_lines(df, family, pending, kept)
     if o.strict_files:
         unreadable = src.no_rows(df.sparkSession, "file string, err string")
         if family.whole_files:
@@ -156,8 +172,22 @@ def _parse(df: DataFrame, family: Family, o: Options, pending: DataFrame | None,
         kept.append(found)
         readable = readable.unionByName(found.where(F.col("err").isNull()).select("file", "content"))
         unreadable, files = src.unreadable_of(found), files.unionByName(found.select("file"))
-    parsed = family.parse(readable if family.whole_files else src.lines_of(readable))
-    return parsed, unreadable, files
+    return family.parse(readable), unreadable, files
+
+
+def _parse_lines(files: DataFrame, family: Family, pending: DataFrame | None, kept: list[DataFrame]):
+    """Like :func:`_parse`, for families whose files are read line by line.
+
+    One task decompresses a file; its lines are dealt anew, so that many parse them.
+    """
+    spark = files.sparkSession
+    read, unreadable = src.lines_of_files(spark, [r["file"] for r in files.collect()]), src.no_rows(spark, "file string, err string")
+    if pending is not None:
+        found = src.count_lines(pending).persist()  # at most ``retry_files`` files
+        kept.append(found)
+        read = read.unionByName(src.decode_lines(pending))
+        unreadable, files = src.unreadable_of(found), files.unionByName(found.select("file"))
+    return family.parse(src.clean(read.repartition("file", "pos"))), unreadable, files
 
 
 def run_tick(df: DataFrame, batch_id: int, family: Family, o: Options) -> None:
@@ -191,7 +221,7 @@ def _write_results(df: DataFrame, batch_id: int, family: Family, o: Options, now
     kept: list[DataFrame] = []
     try:
         if not o.strict_files:
-            df, damaged = _arrived(df, o, batch_id, kept)
+            df, damaged = _arrived(df, o, batch_id, kept) if family.whole_files else _arrived_files(df, there, o, batch_id)
             waiting = waiting.unionByName(_first_tries(damaged, waiting, there, now))
         due, later = _due(waiting, there, o, now)
         kept.append(due)
@@ -314,7 +344,7 @@ def _reread(spark: SparkSession, due: DataFrame) -> DataFrame | None:
     if not paths:
         return None
     reader = spark.read.format("binaryFile").option("ignoreMissingFiles", True)
-    return reader.load(paths).select("path", "content")
+    return reader.load(src.literal(paths)).select("path", "content")
 
 
 def _write_retries(
