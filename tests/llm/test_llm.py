@@ -118,6 +118,17 @@ def test_components(spark):
     assert all(got[k] == 1 for k in range(1, 41)) and got[129] == 100 and got[201] == 200
 
 
+def test_components_of_a_dense_group_keep_links_in_proportion_to_its_ids(spark, monkeypatch):
+    """1,830 links between 61 ids in 3 tasks, and a chain through them: at most 2 rows a kept link, 60 kept links a task of the group."""
+    kept, keep = {}, graph.keep
+    monkeypatch.setattr(graph, "keep", lambda df, name: kept.setdefault(name, keep(df, name)) if name == "edges" else keep(df, name))
+    links = [(a, b) for a in range(1000, 1061) for b in range(a + 1, 1061)] + [(k, k + 1) for k in range(1060, 1070)] + [(5, None), (6, 6)]
+    random.Random(3).shuffle(links)
+    got = {r["id"]: r["component"] for r in graph.components(spark.createDataFrame(links, "a long, b long").repartition(3)).collect()}
+    assert got == {k: 1000 for k in range(1000, 1071)}
+    assert kept["edges"].count() <= 2 * (3 * 60 + 10)
+
+
 def test_near_dedup(docs, empty):
     got = {}
     for r in rows_of(near_dedup.near_dedup(docs)):
