@@ -17,6 +17,7 @@ def spark():
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        .config("spark.ui.retainedStages", "100000")  # tests read the records of all stages so far
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
