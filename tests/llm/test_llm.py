@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 import sys
+import time
 from collections import Counter
 from pathlib import Path
 
@@ -17,6 +19,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 from logloom.llm import ann, bpe, exact_dedup, graph, line_dedup, lm_scoring, mixing, near_dedup, quality, substring_dedup, toxicity  # noqa: E402
 from logloom.llm import queries as llm_queries  # noqa: E402
+from logloom.llm.common import discard, keep  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, ids string, label string"
 SF = "/root/testdata/sf0.001"
@@ -320,6 +323,45 @@ def test_lm_scoring(docs, empty, order, min_count):
     assert set(out) == {i for i, _ in texts} and lm_scoring.stupid_backoff(empty).count() == 0
 
 
+def test_lm_scoring_in_many_blocks(spark, monkeypatch):
+    """Counts of blocks and buckets add up, also those of repeated rows and ids, and only the scores stay on disk."""
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 400)
+    monkeypatch.setattr(lm_scoring, "BUCKET_BYTES", 900)
+    kept = []
+    monkeypatch.setattr(lm_scoring, "keep", lambda df, name, **more: kept.append((name, keep(df, name, **more))) or kept[-1][1])
+    rng = random.Random(4)
+    texts = [(k % 50, [f"w{int(rng.random() ** 3 * 40)}" for _ in range(rng.choice([0, 1, 2, 3, 40, 90]))]) for k in range(60)]
+    texts += texts[:3] + [texts[5]] * 20
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts] + [(70, None), (None, "w1 w2 w3")], "doc_id long, text string").repartition(5)
+    score, pairs, branches = plain_backoff([*texts, (70, []), (None, ["w1", "w2", "w3"])])
+    assert {(3, True), (2, True), (1, True)} <= set(branches)
+    out = {r["doc_id"]: r for r in rows_of(lm_scoring.stupid_backoff(df))}
+    assert set(out) == {i for i, _ in texts} | {70, None}
+    assert all(r["n_pairs"] == pairs[k] and r["log_score"] == pytest.approx(score[k]) for k, r in out.items())
+    assert [name for name, df in kept if os.path.exists(df.inputFiles()[0].removeprefix("file://"))] == ["scores"]
+
+
+def test_kept_tables_leave_no_shuffle_files(spark):
+    def shuffle_files():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        names = (f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(files))
+        return {n for n in names if n.startswith("shuffle_")}
+
+    setting, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", shuffle_files()
+    set_to = spark.conf.get(setting)
+    df = spark.range(100000).select(F.xxhash64("id").alias("k"), (F.col("id") % 7).alias("n")).groupBy("k").agg(F.sum("n").alias("n"))
+    kept = keep(df, "sums", alone=True)
+    for _ in range(100):  # the files are removed in the background
+        if not shuffle_files() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffle_files() - before and spark.conf.get(setting) == set_to
+    file = kept.inputFiles()[0].removeprefix("file://")
+    assert kept.count() == 100000 and os.path.exists(file)
+    discard(kept)
+    assert not os.path.exists(file)
+
+
 def test_lm_scoring_counts_every_word(spark, tmp_path):
     rng = random.Random(6)
     # More distinct words than any fixed vocabulary: half of them rare. The last but three is made of words seen nowhere else.
