@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _V4 = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
 _V4_TAIL = r"^(.*:)(\d+\.\d+\.\d+\.\d+)$"
+# The usual text of an IPv4-mapped address: what follows the prefix is canonical already.
+_MAPPED_HEAD = "::ffff:"
+_MAPPED = rf"(?i)^{_MAPPED_HEAD}{_OCTET}(?:\.{_OCTET}){{3}}\z"
 
 # Ranges that never route on the internet (RFC 1918, RFC 6598,
 # link-local, loopback, unique local).
@@ -94,6 +97,10 @@ def _v6_digits(c: Column) -> Column:
     return _let(_let(F.split(text, "::", -1), expand), digits)
 
 
+def _mapped_tail(c: Column) -> Column:
+    return F.substring(c, len(_MAPPED_HEAD) + 1, 15)
+
+
 def _is_mapped(digits: Column) -> Column:
     return F.startswith(digits, F.lit("0" * 20 + "ffff"))
 
@@ -107,8 +114,8 @@ def addr_key(c: Column) -> Column:
         )
 
     return F.when(F.rlike(c, F.lit(_V4)), F.concat(F.lit("4"), _v4_hex(c))).when(
-        F.contains(c, F.lit(":")), _let(_v6_digits(c), v6)
-    )
+        F.rlike(c, F.lit(_MAPPED)), F.concat(F.lit("4"), _v4_hex(_mapped_tail(c)))
+    ).when(F.contains(c, F.lit(":")), _let(_v6_digits(c), v6))
 
 
 def addr_text(c: Column) -> Column:
@@ -126,7 +133,9 @@ def addr_text(c: Column) -> Column:
         groups = [F.regexp_replace(F.substring(d, 1 + 4 * i, 4), "^0{1,3}", "") for i in range(8)]
         return F.when(_is_mapped(d), dotted).when(d.isNotNull(), _let(F.concat_ws(":", *groups), squeeze))
 
-    return F.when(F.rlike(c, F.lit(_V4)), c).when(F.contains(c, F.lit(":")), _let(_v6_digits(c), v6))
+    return F.when(F.rlike(c, F.lit(_V4)), c).when(F.rlike(c, F.lit(_MAPPED)), _mapped_tail(c)).when(
+        F.contains(c, F.lit(":")), _let(_v6_digits(c), v6)
+    )
 
 
 def parse_prefixes(items: Iterable[str]) -> list[ipaddress.IPv4Network | ipaddress.IPv6Network]:

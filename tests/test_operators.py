@@ -218,3 +218,19 @@ def test_buckets_and_their_grid_fold_the_log_once(spark, tmp_path):
     assert len(series.requests_chart(series.rebucket(spark.read.parquet(path))).collect()) == 2 * len(got)
     assert records_read() - before == 5001
     assert series.rebucket(spark.read.parquet(path).where("ts IS NULL")).count() == 0
+
+
+def test_mapped_addresses_take_the_short_way(spark, monkeypatch):
+    """The usual text of an IPv4-mapped address is unwrapped without its 32 digits; other spellings give the same."""
+    mapped = ["::ffff:10.0.0.1", "::FFFF:203.0.113.255", "::ffff:0.0.0.0"]
+    other = ["::ffff:0a00:1", "0:0:0:0:0:ffff:10.0.0.1", "::ffff:10.0.0.1%eth0", "::ffff:10.0.0.256", "::ffff:010.0.0.1", "::ffff:10.0.0.1\n", "::ffff:10.0.0.1x", "x::ffff:10.0.0.1", "::1", "", None]
+    df = spark.createDataFrame([(a,) for a in mapped + other], "a string")
+    short = df.select("a", net.addr_text(F.col("a")).alias("t"), net.addr_key(F.col("a")).alias("k")).collect()
+    plain = net._MAPPED
+    monkeypatch.setattr(net, "_MAPPED", "(?!)")
+    assert short == df.select("a", net.addr_text(F.col("a")).alias("t"), net.addr_key(F.col("a")).alias("k")).collect()
+    assert [(r["t"], r["k"]) for r in short[:3]] == [("10.0.0.1", "40A000001"), ("203.0.113.255", "4CB0071FF"), ("0.0.0.0", "400000000")]
+    monkeypatch.setattr(net, "_MAPPED", plain)
+    monkeypatch.setattr(net, "_v6_digits", lambda c: F.raise_error(F.lit("the long way")).cast("string"))
+    got = df.where(F.col("a").isin(mapped)).select("a", net.addr_text(F.col("a")).alias("t"), net.addr_key(F.col("a")).alias("k")).collect()
+    assert sorted(got) == sorted(short[:3])
