@@ -473,3 +473,29 @@ def test_sql_twins(spark):
     for name, sql in llm_queries.oracle_sql().items():
         text, _, fine = compare(spark, con, name, llm_queries.queries()[name], sql, SF)
         assert fine, text
+
+
+def test_substring_dedup_meets_the_next_id_where_the_smallest_shares_too_little(spark):
+    """Documents 1 and 2 hold a passage, document 0 holds it with an early word changed, or only 30 or 40 words of it."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    around = lambda n: [word() for _ in range(n)]
+    rows, sharing = [], []
+    for n in (50, 52, 60):
+        for k in range(20):
+            passage = around(n)
+            first = passage[:3] + [word()] + passage[4:50] if k % 2 else passage[k // 2 : k // 2 + (30 if k % 4 else 40)]
+            for p in (first, passage, passage):
+                rows.append((len(rows), " ".join(around(60) + p + around(60))))
+            sharing.append((len(rows) - 1, len(rows) - 2))
+    # The same words many times over are one place; a text's stretches are told apart wherever they lie.
+    rows += [(len(rows), "la " * 5000), (len(rows) + 1, "la " * 70)]
+    got = rows_of(substring_dedup.shared_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    assert {(r["doc_id"], r["match_id"]) for r in got} >= {*sharing, (len(rows) - 1, len(rows) - 2)}
+
+
+def test_stretches_have_one_hash_wherever_they_lie():
+    s = np.arange(1, 300, dtype=np.uint64) % 100
+    part = substring_dedup._Stretches(s)
+    a, b, c = part(np.array([10, 110, 11]), np.array([60, 160, 61]))
+    assert a == b != c and part.powers.dtype == np.uint64
