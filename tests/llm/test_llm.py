@@ -499,3 +499,36 @@ def test_stretches_have_one_hash_wherever_they_lie():
     part = substring_dedup._Stretches(s)
     a, b, c = part(np.array([10, 110, 11]), np.array([60, 160, 61]))
     assert a == b != c and part.powers.dtype == np.uint64
+
+
+def test_substring_dedup_compares_each_surroundings_once():
+    rng = np.random.default_rng(23)
+    of = lambda n: rng.integers(1, 1 << 62, n).astype(np.uint64)
+    line, width = of(7), 46
+
+    def agreement(x, y, at, q):
+        forward = next((k for k in range(width) if at + k >= len(x) or q + k >= len(y) or x[at + k] != y[q + k]), width)
+        back = next((k for k in range(width) if k > at or k > q or x[at - k] != y[q - k]), width)
+        return forward + back
+
+    x = np.concatenate([of(20), *[line] * 30, of(60), line, of(9)])
+    y = np.concatenate([of(5), *[line] * 12, x[225:260], *[line] * 400, of(30)])
+    a, b = substring_dedup._Text(x, width), substring_dedup._Text(y, width)
+    at = np.flatnonzero(np.isin(x, y))
+    got = substring_dedup.counterparts(a, b, at, np.searchsorted(b.numbers()[0], x[at]))
+    for i, q in zip(at.tolist(), got.tolist()):
+        places = np.flatnonzero(y == x[i]).tolist()
+        best = max(agreement(x, y, i, p) for p in places)
+        assert q == next(p for p in places if agreement(x, y, i, p) == best)
+    # A line that comes 400 times is looked at from its ends and once inside.
+    assert len(b.places()[0]) < 400 < len(y) // 7
+
+    text = np.where(np.arange(len(x)) % 11 == 5, 0, x)
+    codes = (np.arange(len(x)) * 3).tolist()
+    inside = np.isin(text, y)
+    before = substring_dedup.coverable(inside, width)
+    for lo in range(0, len(x) - width, 13):
+        start, stop = substring_dedup.longest_stretch(inside[lo:])
+        assert stop - start < width or before[-1] - before[lo] >= width
+    whole = substring_dedup._Text(y[:400], width)
+    assert (0, 400, 0, 400, 100.0) in substring_dedup._passages(whole, whole, codes, 50, 80, 3)
