@@ -11,6 +11,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from logloom.operators import rules
+from logloom.sources import lines
 from logloom.streaming import families, ticks
 
 NOW = datetime(2026, 9, 20, 12, 0, tzinfo=timezone.utc)
@@ -337,3 +338,17 @@ def test_files_longer_than_a_row_can_hold_are_read(spark, scanner, write, family
     run(o, family)
     tick = ticks.ticks(spark, o).first()
     assert (tick["result"], tick["objects"], tick["records_read"], tick["records_matched"]) == ("ok", 1, 2, 2)
+
+
+def test_damaged_files_are_found_without_rows_that_hold_files(spark, write, monkeypatch):
+    good = gzip.compress("\n".join(waf_line(k) for k in range(2000)).encode())
+    for k in range(5):
+        write(f"in/whole-{k}.gz", good)
+    for k in (1, 3):
+        write(f"in/cut-{k}.gz", good[: len(good) * k // 4])
+    folder = os.path.dirname(write("in/stored", good))  # gzip data under a name that Spark does not decompress by
+    paths = sorted(r["path"] for r in spark.read.format("binaryFile").load(folder).select("path").collect())
+    mixed = paths[::2] + paths[1::2]
+    monkeypatch.setattr(lines, "count_lines", lambda raw: pytest.fail("a row holds a file"))
+    assert lines.whole_files(spark, mixed) == [p for p in mixed if "whole" in p] and len(mixed) == 8
+    assert lines.whole_files(spark, paths[:2]) == []
