@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import gzip
+import io
+import itertools
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -10,6 +12,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -201,38 +204,91 @@ def whole_files(spark: SparkSession, paths: list[str]) -> list[str]:
     return [p for p in paths if p not in other]
 
 
+def _stored(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``(file, size, part)``: the stored bytes of listed files, parted at line feeds; one task has all of a file, in order.
+
+    No codec is used, whatever a file's name is. Compressed data has a line feed every few hundred bytes, so no row holds
+    a file, and rows are sorted on disk where memory can't hold them. Files that are gone give no row.
+    """
+    options = {
+        "recursiveFileLookup": True, "lineSep": "\n", "ignoreMissingFiles": True,
+        "io.compression.codecs": "org.apache.hadoop.io.compress.PassthroughCodec",
+        # Spark's own Hadoop jar has the second name, others the first.
+        "io.compress.passthrough.extension": ".gz", "org.apache.hadoop.shaded.io.compress.passthrough.extension": ".gz",
+    }
+    at = F.col("_metadata")
+    parts = spark.read.options(**options).text(literal(paths)).select(
+        path_of(at["file_path"]).alias("file"), at["file_size"].alias("size"), at["file_block_start"].alias("block"),
+        F.monotonically_increasing_id().alias("pos"), F.col("value").cast("binary").alias("part"))
+    return parts.repartition("file").sortWithinPartitions("file", "block", "pos").select("file", "size", "part")
+
+
 def _line_tasks() -> tuple[Callable, Callable]:
-    """Task functions for ``(path, content)`` of ``binaryFile``: a file's lines, and how many it has or why it can't be read.
+    """Task functions for rows of :func:`_stored`: how many lines a file has or why it can't be read, and a file's lines.
 
-    A file's text is decompressed in pieces, so only its stored bytes are in memory. The functions are local, so they
-    travel to the executors by value.
+    A file is decompressed as its parts come in. The functions are local, so they travel to the executors by value.
     """
 
-    def pieces(data: pa.Buffer) -> Iterator[bytes]:
-        stream = pa.BufferReader(data)
-        if data.size >= 2 and data[:2].to_pybytes() == b"\x1f\x8b":
+    class Joined(io.RawIOBase):
+        """Pieces of bytes as a stream; ``data`` has the first two bytes at least, if there are so many."""
+
+        def __init__(self, found: Iterator[bytes]):
+            self.found, self.data, self.at = found, b"", 0
+            while len(self.data) < 2 and (piece := next(found, None)) is not None:
+                self.data += piece
+
+        def readable(self) -> bool:
+            return True
+
+        def readinto(self, buffer: memoryview) -> int:
+            while self.at == len(self.data):
+                if (piece := next(self.found, None)) is None:
+                    return 0
+                self.data, self.at = piece, 0
+            n = min(len(buffer), len(self.data) - self.at)
+            buffer[:n] = self.data[self.at : self.at + n]
+            self.at += n
+            return n
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, bytes]]:
+        for batch in batches:
+            file, size, part = batch.columns
+            start, found = 0, pc.run_end_encode(file)
+            for path, stop in zip(found.values.to_pylist(), found.run_ends.to_pylist()):
+                yield path, size[start].as_py(), b"\n".join(part[start:stop].to_pylist())
+                start = stop
+
+    def stored(found: Iterator[tuple[str, int, bytes]]) -> Iterator[bytes]:
+        n, size = -1, 0
+        for _, size, data in found:
+            if n >= 0:
+                yield b"\n"
+            yield data
+            n += 1 + len(data)
+        if n < size:
+            yield b"\n"  # the file's last byte
+
+    def pieces(found: Iterator[tuple[str, int, bytes]]) -> Iterator[bytes]:
+        joined = Joined(stored(found))
+        stream = io.BufferedReader(joined, 1 << 20)
+        if joined.data[:2] == b"\x1f\x8b":
             stream = gzip.GzipFile(fileobj=stream)
         while piece := stream.read(1 << 20):
             yield piece
 
-    def count(data: pa.Buffer) -> tuple[int, str | None]:
-        n, last = 0, b"\n"
-        try:
-            for piece in pieces(data):
-                n, last = n + piece.count(b"\n"), piece[-1:]
-        except (OSError, EOFError, zlib.error):
-            return 0, "corrupt gzip data"
-        return n + (last != b"\n"), None
-
-    def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Buffer]]:
-        for batch in batches:
-            for path, content in zip(batch.column(0), batch.column(1)):
-                yield path.as_py(), content.as_buffer()
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Iterator[bytes]]]:
+        for path, found in itertools.groupby(runs(batches), lambda run: run[0]):
+            yield path, pieces(found)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for path, data in stored(batches):
-            n, err = count(data)
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64()), pa.array([err], pa.string())], ["file", "n", "err"])
+        for path, found in files(batches):
+            n, last, err = 0, b"\n", None
+            try:
+                for piece in found:
+                    n, last = n + piece.count(b"\n"), piece[-1:]
+            except (OSError, EOFError, zlib.error):
+                n, last, err = 0, b"\n", "corrupt gzip data"
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n + (last != b"\n")], pa.int64()), pa.array([err], pa.string())], ["file", "n", "err"])
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch_of(path: str, at: int, text: bytes) -> pa.RecordBatch:
@@ -240,11 +296,9 @@ def _line_tasks() -> tuple[Callable, Callable]:
             columns = [pa.array([path] * len(found)), pa.array(range(at, at + len(found)), pa.int64()), pa.array(found, pa.string())]
             return pa.RecordBatch.from_arrays(columns, ["file", "pos", "line"])
 
-        for path, data in stored(batches):
-            if count(data)[1] is not None:
-                continue  # no line of a damaged file
+        for path, found in files(batches):
             at, begun = 0, []
-            for piece in pieces(data):
+            for piece in found:
                 head, cut, tail = piece.rpartition(b"\n")
                 if cut:
                     batch = batch_of(path, at, b"".join([*begun, head]))
@@ -258,13 +312,18 @@ def _line_tasks() -> tuple[Callable, Callable]:
 
 
 def count_lines(raw: DataFrame) -> DataFrame:
-    """``(file, n, err)`` of ``binaryFile`` rows: the lines of a file that can be read, or the error."""
-    return raw.select("path", "content").mapInArrow(_line_tasks()[0], "file string, n bigint, err string")
+    """``(file, n, err)`` of listed ``binaryFile`` rows, of which only the paths are used: a file's lines, or why it can't be read."""
+    spark, paths = raw.sparkSession, [r["path"] for r in raw.select("path").collect()]
+    if not paths:
+        return no_rows(spark, "file string, n bigint, err string")
+    return _stored(spark, paths).mapInArrow(_line_tasks()[0], "file string, n bigint, err string")
 
 
-def decode_lines(raw: DataFrame) -> DataFrame:
-    """``(file, pos, line)`` of ``binaryFile`` rows that can be read to their end; others give no line."""
-    return raw.select("path", "content").mapInArrow(_line_tasks()[1], LINE_SCHEMA)
+def decode_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``(file, pos, line)`` of files that :func:`count_lines` could read to their end; a file damaged since then is an error."""
+    if not paths:
+        return no_rows(spark, LINE_SCHEMA)
+    return _stored(spark, paths).mapInArrow(_line_tasks()[1], LINE_SCHEMA)
 
 
 def unreadable_of(contents: DataFrame) -> DataFrame:

@@ -185,7 +185,7 @@ def _parse_lines(files: DataFrame, family: Family, pending: DataFrame | None, ke
     if pending is not None:
         found = src.count_lines(pending).persist()  # at most ``retry_files`` files
         kept.append(found)
-        read = read.unionByName(src.decode_lines(pending))
+        read = read.unionByName(src.decode_lines(spark, [r["file"] for r in found.where(F.col("err").isNull()).collect()]))
         unreadable, files = src.unreadable_of(found), files.unionByName(found.select("file"))
     return family.parse(src.clean(read.repartition("file", "pos"))), unreadable, files
 
@@ -339,7 +339,7 @@ def _due(waiting: DataFrame, there: DataFrame, o: Options, now: datetime) -> tup
 
 
 def _reread(spark: SparkSession, due: DataFrame) -> DataFrame | None:
-    """Bytes of the files to try again; at most ``retry_files`` paths."""
+    """The files to try again, at most ``retry_files`` paths, as ``binaryFile`` rows; bytes are read where they are asked for."""
     paths = [r["file"] for r in due.select("file").collect()]
     if not paths:
         return None

@@ -352,3 +352,28 @@ def test_damaged_files_are_found_without_rows_that_hold_files(spark, write, monk
     monkeypatch.setattr(lines, "count_lines", lambda raw: pytest.fail("a row holds a file"))
     assert lines.whole_files(spark, mixed) == [p for p in mixed if "whole" in p] and len(mixed) == 8
     assert lines.whole_files(spark, paths[:2]) == []
+
+
+def test_stored_files_are_decoded_without_rows_that_hold_files(spark, write):
+    """Parts of many splits come together in order, the last line feed of the stored bytes among them; contents are never read as one row."""
+    text = "".join(f"{k * 7919 % 100003}\n" for k in range(40000))
+    names = {"in/stored": gzip.compress(text.encode()), "in/two": gzip.compress(b"a\nb") * 2, "in/plain.gz": text.encode()[:-1],
+             "in/feeds.gz": b"\n\n", "in/cut": gzip.compress(text.encode())[:-9], "in/cut.gz": gzip.compress(text.encode())[:-1], "in/one.gz": b"\x1f"}
+    wrong = gzip.compress(b"x" * 10)[:-4] + b"\n\n\n\n"  # a wrong length at the end
+    folder = {os.path.dirname(write(name, data)) for name, data in names.items()}.pop()
+    write("in/long.gz", wrong)
+    raw = spark.read.format("binaryFile").load(folder).select("path", F.raise_error(F.lit("a row holds a file")).cast("binary").alias("content"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10k")
+    try:
+        found = {r["file"]: (r["n"], r["err"]) for r in lines.count_lines(raw).collect()}
+        bad = (0, "corrupt gzip data")
+        assert {p.rpartition("/")[2]: v for p, v in found.items()} == {
+            "stored": (40000, None), "two": (3, None), "plain.gz": (40000, None), "feeds.gz": (2, None), "cut": bad, "cut.gz": bad,
+            "one.gz": (1, None), "long.gz": bad}
+        read = lines.decode_lines(spark, [p for p, (_, err) in found.items() if err is None]).orderBy("file", "pos").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    of = lambda name: [r["line"] for r in read if r["file"].endswith("/" + name)]
+    assert ([x for x in of("stored") if x], of("plain.gz")) == (text.split("\n")[:-1], text.split("\n")[:-1])
+    assert (of("two"), [x for x in of("feeds.gz") if x]) == (["a", "ba", "b"], [])
