@@ -150,7 +150,8 @@ def build_index(rows: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> DataFr
         })
 
     dealt = rows.withColumn("dim", F.size("vec")).withColumn("shard", F.pmod("hash", F.lit(shards)).cast("int"))
-    graphs = dealt.groupBy("shard", "dim").applyInPandas(
+    # By number, so that no task gets many shards because they are small.
+    graphs = dealt.repartition(shards, "shard", "dim").groupBy("shard", "dim").applyInPandas(
         built, "shard int, dim int, ids array<array<long>>, starts array<int>, vectors binary, edges binary",
     )
     return keep(graphs, "graphs").withColumn("shards", F.lit(shards))
@@ -162,11 +163,10 @@ def search(graphs: DataFrame, queries: DataFrame, k: int, width: int = BEAM, blo
     A task takes one block of queries and one shard; both have a bounded size. Vectors of another length are no candidates.
     """
     blocks = max(1, math.ceil(queries.count() / block_queries))
-    shards = (graphs.select("shards").first() or [1])[0]
     asked = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("dim", F.size("vec"))
-    asked = asked.groupBy("block", "dim").agg(F.collect_list("id").alias("query_ids"), F.collect_list("vec").alias("query_vecs"))
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    tasks = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(asked, ["shard", "block", "dim"])
+    asked = keep(asked.groupBy("block", "dim").agg(F.collect_list("id").alias("query_ids"), F.collect_list("vec").alias("query_vecs")), "queries")
+    # Pairs are made in the tasks that search them. Copies of blocks for all shards are never broadcast or shuffled.
+    tasks = graphs.hint("shuffle_replicate_nl").join(asked, "dim")
 
     def answered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -194,8 +194,8 @@ def search(graphs: DataFrame, queries: DataFrame, k: int, width: int = BEAM, blo
                     asking, beam = np.array(wider, int), 2 * beam
                 yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    spread = tasks.repartition("shard", "block").select("dim", "ids", "starts", "vectors", "edges", "query_ids", "query_vecs")
-    found = spread.mapInPandas(answered, "query_id long, vec_id long, score double")
+    pairs = tasks.select("dim", "ids", "starts", "vectors", "edges", "query_ids", "query_vecs")
+    found = pairs.mapInPandas(answered, "query_id long, vec_id long, score double")
     nearest = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -277,6 +277,19 @@ def test_nearest_neighbours(spark):
     assert ann.nearest_neighbours(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_blocks_of_queries_meet_all_shards_without_copies_of_them(spark):
+    """A broadcast of the blocks' copies for all shards would pass through the driver; shuffles of pairs grow with their number."""
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rng.normal(size=(600, 8)))], "vec_id long, embedding array<float>")
+    both = df.unionByName(df.where("vec_id < 50").select((F.col("vec_id") + 1000).alias("vec_id"), F.slice("embedding", 1, 5).alias("embedding")))
+    usable = ann.usable(both)
+    out = ann.search(ann.build_index(usable, 5, shard_rows=100), usable.distinct(), 5, block_queries=64)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "block" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
+    got = out.collect()
+    assert len(got) == 650 * 5 and all((r["query_id"] < 1000) == (r["vec_id"] < 1000) for r in got)
+
+
 def test_neighbours_at_one_distance_are_ordered_by_id(spark):
     """More vectors lie at the tenth place's distance than an answer, and than a beam, holds; a clashing column does no harm."""
     for ties, size in ((30, 32), (150, 160)):
